@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe, chat, language, token_count, topk, urls
+from chronoloom.llm import bpe, chat, language, minhash, token_count, topk, urls
 from chronoloom.llm.common import held_out, read
 
 
@@ -39,6 +39,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold_events(chat.as_events(turns.unionByName(own)))))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, num=80, den=100)
+
+
 RULES = [
     urls.Rule("block", "com", "/en/"),
     urls.Rule("allow", "example.com", "/en/7"),
@@ -84,6 +88,23 @@ FROM marked GROUP BY conv_id
 """
 
 
+SQL_NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), rows_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM rows_ a JOIN rows_ b ON a.x = b.x AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS w FROM documents UNION SELECT r.v, e.b FROM reach r JOIN both_ways e ON r.w = e.a),
+least_ AS (SELECT v, min(w) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_ ON doc_id = v
+"""
+
+
 def _sql_urls() -> str:
     fits = lambda h, p, r: f"(({h} = '{r.host}' OR {h} LIKE '%.{r.host}') AND starts_with({p}, '{r.path}'))"
     by_length = sorted(RULES, key=lambda r: -len(r.name))
@@ -138,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_chat": op2_chat,
+        "op3_minhash": op3_minhash,
         "op4_urls": op4_urls,
         "op5_topk": op5_topk,
         "op6_language": op6_language,
@@ -148,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": SQL_CHAT,
+        "op3_minhash": SQL_NEAR,
         "op4_urls": _sql_urls(),
         "op5_topk": SQL_TOPK,
     }
