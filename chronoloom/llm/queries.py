@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe, chat, language, minhash, token_count, topk, urls
+from chronoloom.llm import bpe, chat, ctw, language, minhash, token_count, topk, urls
 from chronoloom.llm.common import held_out, read
 
 
@@ -155,6 +155,10 @@ FROM scored QUALIFY rank <= 10
 """
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -164,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_topk": op5_topk,
         "op6_language": op6_language,
         "op9_token_counts": op9_token_counts,
+        "op10_lm": op10_lm,
     }
 
 
