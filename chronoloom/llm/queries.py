@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe, chat, ctw, language, minhash, token_count, topk, urls
+from chronoloom.llm import bpe, chat, ctw, decontaminate, language, minhash, suffix, token_count, topk, urls
 from chronoloom.llm.common import held_out, read
 
 
@@ -28,6 +28,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -155,6 +164,32 @@ FROM scored QUALIFY rank <= 10
 """
 
 
+SQL_REPEATS = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM d)
+), starts AS (
+  SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 1 ELSE 0 END AS fresh FROM starts
+), numbered AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(p) AS s, max(p) + 400 AS e FROM numbered GROUP BY doc_id, span
+), cuts AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM spans
+), kept AS (
+  SELECT d.doc_id, any_value(d.h) AS h, any_value(d.n) AS n, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last_end,
+         string_agg(substr(d.h, 2 * since + 1, 2 * (s - since)), '' ORDER BY s) AS front
+  FROM cuts JOIN d ON cuts.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN d.h ELSE front || substr(d.h, 2 * last_end + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
 
@@ -167,6 +202,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_urls": op4_urls,
         "op5_topk": op5_topk,
         "op6_language": op6_language,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_suffix": op8_suffix,
         "op9_token_counts": op9_token_counts,
         "op10_lm": op10_lm,
     }
@@ -178,4 +215,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_minhash": SQL_NEAR,
         "op4_urls": _sql_urls(),
         "op5_topk": SQL_TOPK,
+        "op8_suffix": SQL_REPEATS,
     }
