@@ -20,8 +20,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -188,6 +188,25 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return src.mapInArrow(run, kept.add("lang_pred", "string").add("score", "double"))
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known: the
+    text has a letter and the network's answer a score of ``least`` or more."""
+    place = docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(sent.value) if sent.value else None
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for start, texts in _runs(batch.column(place)):
+                some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t.decode("utf-8", "replace")))]
+                if some and scorer:
+                    good[start + np.array(some)] = scorer.predict([texts[i] for i in some])[1] >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
     texts, held, start = [], 0, 0
     for i, x in enumerate(column.cast(pa.large_binary())):

@@ -1,25 +1,73 @@
-"""Training-corpus pipeline: each stage applies one corpus operator to what the
-stage before it kept."""
+"""Training-corpus pipeline: each stage applies one corpus operator to all that the
+stage before it kept.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``; the
+last one returns tokens. Between stages the documents are written to the shared
+folder and read again, so a lost executor costs one stage at most. A document
+whose id is null can't be a duplicate of another; null texts go with the first
+stage, as they have no language; empty tables stay empty, and further columns pass
+through whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe
-from chronoloom.llm.common import materialize, read
+from chronoloom.llm import bpe, decontaminate, language, minhash, suffix
+from chronoloom.llm.common import held_out, materialize, read
 from chronoloom.llm.queries import tokenizer_path
 
+#: Below this score no language is likelier than the others together by much; real texts lie far above it.
+LEAST_SCORE = 0.3
+#: A passage of more than 50 words has more bytes than this.
+REPEAT_BYTES = 240
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents without a recognisable language go."""
+    net = language.fit(docs, held_out(F.col("doc_id"), 4, 2))
+    return language.accepted(docs, net, LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near-duplicates (shingles of five words,
+    similarity of 0.8 or more) the document with the smallest id stays."""
+    found = minhash.near_duplicates(docs, width=5, num=80, den=100)
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: passages that repeat go from all texts; characters that a cut
+    parts go with them. The documents themselves stay."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    left = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep=("row",))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that hold a benchmark item go."""
+    return decontaminate.without_items(docs, read(spark, sf_dir, "benchmark"))
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: ids of every text that is left."""
-    return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Operator 1: ids of every text that is left, and the text that they decode to."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    return bpe.decode_documents(bpe.encode_documents(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
-    ("bpe_encode", encode),
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", remove_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
 ]
 
-#: No stage can be written in SQL.
+#: No stage but one can be written in SQL.
 ORACLE_SQL = None
 
 
