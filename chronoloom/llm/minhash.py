@@ -9,12 +9,14 @@
    posterior chance (uniform prior) that its similarity reaches the threshold is
    under ``MISS``. Survivors are verified on the full sets of their texts.
 4. Components of the links are found. Where a bucket still holds several
-   components, the pairs across them are tested the same way, so that a link
-   between two members that are both far from the smallest one isn't lost.
-
-A pair at the threshold shares no bucket with a chance of under 5e-7. Every step
-groups and joins on hashes: no group is gathered in a task, edges are one per
-member and made distinct before texts are fetched, and joins may be split.
+   components, the members of all but its largest one are compared with the others
+   of other components by the same rule, so that a link between two members that
+   are both far from the smallest one isn't lost. Such buckets are read in blocks,
+   and only pairs that pass leave a block.
+
+A pair at the threshold shares no bucket with a chance of under 5e-7. Buckets with
+the same members count once. Edges are one per member and made distinct before
+texts are fetched, and joins may be split.
 """
 
 from __future__ import annotations
@@ -138,10 +140,28 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
     return tuple(out)
 
 
+#: Ids that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Members of a bucket that are compared in one block.
+MEMBERS = 4096
+
+
+def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids`` (one column of its name,
+    written already); counted first, and broadcast if they are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "ends")
+
+
 def plausible(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` that no comparison of signature batches rules out."""
     least = np.array(least_matches(threshold))
-    sides = [signatures.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab"]
+    some = only(signatures, "v", ends(pairs))
+    sides = [some.select(F.col("v").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     near = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)).select("a", "b", "sa", "sb")
 
@@ -159,6 +179,70 @@ def plausible(pairs: DataFrame, signatures: DataFrame, threshold: float) -> Data
     return near.mapInArrow(run, "a long, b long")
 
 
+def plausible_across(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one bucket but different components that no
+    comparison of signature batches rules out; from ``(key, size, v, c, n_shingles,
+    signature)``.
+
+    A bucket of more than ``MEMBERS`` is dealt into chunks by a hash, and each two
+    chunks meet in a block of their own, so memory is bounded.
+    """
+    least = np.array(least_matches(threshold))
+    chunks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    chunk = F.pmod(F.xxhash64("v"), chunks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
+    dealt = members.withColumn("chunk", chunk).withColumn("meets", meets).select("key", F.explode("meets").alias("m"), "v", "c", "n_shingles", "signature")
+    dealt = dealt.select("key", "m.i", "m.j", "v", "c", "n_shingles", "signature")
+
+    def compare(v, c, n, sig) -> list[tuple[int, int]]:
+        _, of = np.unique(c, return_inverse=True)
+        largest = np.bincount(of).argmax()
+        out = []
+        for i in np.flatnonzero(of != largest):
+            other = (of != of[i]) & ((of == largest) | (np.arange(len(v)) > i)) & (np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (threshold - 1e-9))
+            alive = np.flatnonzero(other)
+            agree = np.zeros(len(alive), int)
+            for k, need in enumerate(least):
+                if not len(alive):
+                    break
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                agree = agree + (sig[alive, part] == sig[i, part]).sum(1)
+                stay = agree >= need
+                alive, agree = alive[stay], agree[stay]
+            out += [(min(v[i], x), max(v[i], x)) for x in v[alive].tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            place = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
+            found = set()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if tuple(place[x]) != now:
+                    found.update(compare(*_gather(held)) if held else ())
+                    held, now = [], tuple(place[x])
+                held.append([batch.column(k).slice(x, y - x) for k in range(3, 7)])
+            yield _pairs(found)
+        if held:
+            yield _pairs(set(compare(*_gather(held))))
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _gather(held: list) -> tuple[np.ndarray, ...]:
+    v, c, n = (np.concatenate([h[k].to_numpy() for h in held]) for k in range(3))
+    sig = np.frombuffer(b"".join(x for h in held for x in h[3].to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
+    return v, c, n, sig
+
+
+def _pairs(found) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def similar(x: list[bytes], y: list[bytes], width: int, num: int, den: int) -> bool:
     """Whether den * intersection >= num * union of the two sets, on the words
     themselves: shingles are numbered, not hashed."""
@@ -182,8 +266,7 @@ def similar(x: list[bytes], y: list[bytes], width: int, num: int, den: int) -> b
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose texts' full sets are similar enough. Only texts of
     vertices in a pair are fetched; a pair's two texts meet by joins on the vertex, never in a group."""
-    wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    some = materialize(texts.join(wanted, "v", "left_semi"), "texts")
+    some = materialize(only(texts, "v", ends(pairs)), "texts")
     met = pairs.join(some.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(some.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,36 +299,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     first = named.groupBy("digest").agg(F.min("doc_id").alias("v"))
     member = materialize(named.select("doc_id", "digest").join(first, "digest").select("doc_id", "v"), "members")
     of = member.distinct()  # an id with several sets stands for each of their vertices
-    vertex = feats.join(of.select("v").distinct().withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
-    signatures = vertex.where("digest is not null").select("doc_id", "signature", "n_shingles")
+    signatures = feats.where("digest is not null").select(F.col("doc_id").alias("v"), "signature", "n_shingles")
+    texts = docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).cast("string").alias("text")).where("v is not null")
 
     banded = named.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").select("key", "rep")
-    star = banded.join(buckets, "key").where("doc_id <> rep").join(of.withColumnRenamed("v", "b"), "doc_id").drop("doc_id")
-    star = star.join(of.select(F.col("doc_id").alias("rep"), F.col("v").alias("a")), "rep").where("a <> b").select("key", "a", "b").distinct()
-    star = materialize(star, "stars")
+    shared = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key")
+    inside = materialize(banded.join(shared, "key").join(of, "doc_id").select("key", "v").distinct(), "inside")
+    twins = inside.groupBy("key").agg(F.count("*").alias("size"), F.min("v").alias("a"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    buckets = twins.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.min("a").alias("a"))
+    star = materialize(inside.join(buckets.select("key", "size", "a"), "key"), "stars")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).cast("string").alias("text")).where("v is not null")
-    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = materialize(pair(star), "pairs")
+    tested = materialize(star.where("v <> a").select("a", F.col("v").alias("b")).distinct(), "pairs")
     links = materialize(verify(materialize(plausible(tested, signatures, threshold), "plausible"), texts, width, num, den), "links")
     same = member.where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
-    component = connected_components(links, "a", "b")
-
-    # Buckets that hold several components.
-    side = lambda c: component.select(F.col("vertex").alias(c), F.col("component").alias(f"c{c}"))
-    placed = star.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"})
-    mixed = placed.where("ca <> cb").select("key").distinct()
-    if not mixed.isEmpty():
-        inside = placed.join(mixed, "key", "left_semi")
-        size = signatures.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-        all_in = inside.select("key", F.col("b").alias("v"), F.col("cb").alias("c")).unionByName(inside.select("key", F.col("a").alias("v"), F.col("ca").alias("c"))).distinct()
-        all_in = materialize(all_in.join(size.withColumnRenamed("doc_id", "v"), "v"), "mixed")
-        x, y = (all_in.select("key", F.col("v").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
-        across = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)))
-        rest = materialize(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
-        more = verify(materialize(plausible(rest, signatures, threshold), "plausible"), texts, width, num, den)
-        links = links.unionByName(materialize(more, "links"))
+    component = connected_components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+
+    placed = star.join(component, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key")
+    members = materialize(placed.join(mixed, "key", "left_semi").select("key", "size", "v", "c"), "mixed")
+    if not members.isEmpty():
+        known = only(signatures, "v", materialize(members.select("v").distinct(), "ends"))
+        across = plausible_across(members.join(known, "v"), threshold).distinct().join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(materialize(verify(materialize(across, "across"), texts, width, num, den), "links"))
     component = connected_components(links.unionByName(same), "a", "b")
     found = component.select(F.col("vertex").alias("doc_id"), "component")
     return feats.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
