@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One edit is allowed per so many bytes of an item, as long as each piece has PIECE bytes.
 BYTES_PER_EDIT, PIECE = 16, 12
@@ -134,9 +135,14 @@ class Matcher:
         return self.seen[key]
 
 
+def _id_kind(items: DataFrame, id_col: str) -> str:
+    """Ids of items travel as whole numbers or as text."""
+    return "bigint" if isinstance(items.schema[id_col].dataType, T.IntegralType) else "string"
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
     """The items in blocks of about ``BLOCK_BYTES``, one at a time."""
-    src = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    src = items.select(F.col(id_col).cast(_id_kind(items, id_col)).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = src.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
@@ -194,7 +200,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Without documents or items there are no rows; further columns are ignored.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = [src.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
+    kinds = [src.schema["doc_id"].dataType.simpleString(), _id_kind(items, item_id)]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance long, allowed long"
     out = None
     for block in _blocks(items, item_id, item_text):

@@ -75,12 +75,13 @@ def _node(points: np.ndarray, rows: np.ndarray) -> Node:
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of each query's k best of these points, ties to the
     smaller id; a point with the query's own id is no candidate."""
-    wide = max(np.abs(queries).max(initial=0), 1) * max(np.abs(points).max(initial=0), 1) * max(points.shape[1], 1) >= 2**53
+    if not len(queries) or not len(points):
+        return np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.int64)
+    most = [max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) for x in (queries, points)]
+    wide = most[0] * most[1] * max(points.shape[1], 1) >= 2**53
     if wide:  # beyond exact doubles: Python integers, no bounds
         scores = np.clip(queries.astype(object) @ points.astype(object).T, -(2**63), 2**63 - 1)
         return _best([(np.arange(len(queries)), scores, ids)], query_ids, k)
-    if not len(queries) or not len(points):
-        return np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.int64)
     q, p = queries.astype(np.float64), points.astype(np.float64)
     best = np.full((len(q), k), -np.inf)
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(q))]
