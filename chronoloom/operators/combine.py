@@ -81,7 +81,7 @@ def countSeries(*queries: str | Expr) -> Expr:
         filled = filled.withColumns({"lo": F.coalesce("lo", req.lo(F.col("step"))), "hi": F.coalesce("hi", req.hi(F.col("step")))})
         heads = filled.select(F.lit("0").alias("skey"), F.lit(0).alias("arg"), F.lit(0).cast("long").alias("sid"), "step", "lo", "hi", F.lit(target).alias("target"), F.lit(name).alias("name"))
         slots = filled.where("lo < hi").select(F.lit("0").alias("skey"), "step", F.explode(F.sequence("lo", F.col("hi") - F.col("step"), "step")).alias("t"), F.col("n").cast("double").alias("v"))
-        return SeriesSet(heads, slots)
+        return SeriesSet(heads, slots, True)
 
     return Expr(build, target, method)
 

@@ -29,8 +29,11 @@ def path(pattern: str) -> Expr:
             "name",
             F.when(F.col("retention") > 0, F.col("last_t") - F.col("retention")).alias("oldest"),
         )
-        # A constant bound below reaches the scan; the exact one depends on each series' step.
-        rows = store.samples.where(F.col("t").between(req.first - req.pretime - (req.pre + 1) * LONGEST_STEP, req.last))
+        # Constant bounds reach the scan; the exact ones depend on each series' step.
+        low = req.first - req.pretime - (req.pre + 1) * store.longest_step
+        rows = store.samples.where(F.col("t").between(low, req.last))
+        if "day" in rows.columns:
+            rows = rows.where(F.col("day").between(low // 86400, req.last // 86400))
         at = heads.select(F.col("sid").alias("id"), "skey", "step", "lo", "hi", "oldest")
         rows = rows.join(at, "id").where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")) & (F.col("oldest").isNull() | (F.col("t") > F.col("oldest"))))
         return SeriesSet(heads.drop("oldest"), rows.where("v is not null").select("skey", "step", "t", "v"))
@@ -38,10 +41,6 @@ def path(pattern: str) -> Expr:
     return Expr(build, pattern)
 
 
-#: No series has slots longer than this (a week); bounds the scan below the window.
-LONGEST_STEP = 604_800
-
-
 def as_expr(x: str | Expr) -> Expr:
     return path(x) if isinstance(x, str) else x
 
@@ -49,15 +48,14 @@ def as_expr(x: str | Expr) -> Expr:
 def union(args: list[Expr], store: Store, req: Request) -> SeriesSet:
     """All series of all arguments, keyed by argument so that none is mistaken for
     another one of the same metric."""
-    heads = samples = None
-    for i, arg in enumerate(args):
-        s = arg.build(store, req)
+    heads, samples, sets = None, None, [arg.build(store, req) for arg in args]
+    for i, s in enumerate(sets):
         if len(args) > 1:
             key = F.concat(F.lit(f"{i}:"), F.col("skey"))
-            s = SeriesSet(s.heads.withColumns({"skey": key, "arg": F.lit(i)}), s.samples.withColumn("skey", key))
+            s = SeriesSet(s.heads.withColumns({"skey": key, "arg": F.lit(i)}), s.samples.select(key.alias("skey"), "step", "t", "v"))
         heads = s.heads if heads is None else heads.unionByName(s.heads)
         samples = s.samples if samples is None else samples.unionByName(s.samples)
-    return SeriesSet(heads, samples)
+    return SeriesSet(heads, samples, all(s.full for s in sets))
 
 
 def group(*queries: str | Expr) -> Expr:

@@ -50,4 +50,4 @@ def consolidate(s: SeriesSet, req: Request, points: int, method: str) -> SeriesS
     heads = heads.withColumns({"lo": align(F.col("lo"), F.col("_step")), "hi": align(F.col("hi") - 1, F.col("_step")) + F.col("_step")})
     rows = s.samples.withColumn("_step", step).withColumn("_t", align(F.col("t"), F.col("_step")))
     points_ = rows.groupBy("skey", "_step", "_t").agg(aggregate(method, F.col("v"), F.col("t")).alias("v"))
-    return SeriesSet(heads.drop("step").withColumnRenamed("_step", "step"), points_.select("skey", F.col("_step").alias("step"), F.col("_t").alias("t"), "v"))
+    return SeriesSet(heads.drop("step").withColumnRenamed("_step", "step"), points_.select("skey", F.col("_step").alias("step"), F.col("_t").alias("t"), "v"), s.full)

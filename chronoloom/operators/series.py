@@ -9,7 +9,7 @@ catalog, not as the data.
     samples  skey, step, t, v
 
 ``lo`` and ``hi`` (exclusive) are the slots that a series covers; missing slots are
-nulls by absence until :func:`dense` fills them in. Series order is (arg, sid, skey).
+nulls by absence until :func:`dense` fills them in, and a set that is ``full`` has them all. Series order is (arg, sid, skey).
 
 An expression is a function of the request: what wants samples before the window
 asks its argument for a wider request. Python composes these functions; Catalyst
@@ -66,6 +66,7 @@ class Request:
 class SeriesSet:
     heads: DataFrame
     samples: DataFrame
+    full: bool = False
 
     def values(self, v: Column) -> SeriesSet:
         return replace(self, samples=self.samples.withColumn("v", v))
@@ -75,7 +76,7 @@ class SeriesSet:
 
     def only(self, heads: DataFrame) -> SeriesSet:
         """The series of ``heads``; its samples by a semi-join that Catalyst may broadcast."""
-        return SeriesSet(heads, self.samples.join(heads.select("skey"), "skey", "left_semi"))
+        return replace(self, heads=heads, samples=self.samples.join(heads.select("skey"), "skey", "left_semi"))
 
 
 @dataclass(frozen=True)
@@ -91,10 +92,13 @@ class Expr:
 @dataclass(frozen=True)
 class Store:
     """``catalog`` has (id, name, n_segs, step, retention, last_t), ``samples``
-    (id, t, v); ``retention`` and ``last_t`` may be null (unlimited, unknown)."""
+    (id, t, v) and maybe ``day``, by which files are parted; ``retention`` and
+    ``last_t`` may be null (unlimited, unknown). No series has a longer step than
+    ``longest_step``, which bounds the scan for slots before a window."""
 
     catalog: DataFrame
     samples: DataFrame
+    longest_step: int = 604_800
 
 
 def derived(function: str) -> Column:
@@ -115,21 +119,19 @@ def dense(s: SeriesSet) -> SeriesSet:
     added; no join with a grid is needed, and windows by series can follow without
     another shuffle.
     """
+    if s.full:
+        return s
     first = s.heads.where("lo < hi").select("skey", "step", F.col("lo").alias("t"), F.lit(None).cast("double").alias("v"), F.col("hi").alias("hi"))
     rows = s.samples.select("skey", "step", "t", "v", F.lit(None).cast("long").alias("hi")).unionByName(first)
     order = W.partitionBy("skey").orderBy("t", F.col("hi").isNull())
     upto = F.coalesce(F.lead("t").over(order), F.max("hi").over(W.partitionBy("skey")))
     spans = rows.withColumn("upto", upto).where("t < upto")
     slots = spans.select("skey", "step", F.col("t").alias("at"), "v", F.explode(F.sequence("t", F.col("upto") - F.col("step"), "step")).alias("t"))
-    return replace(s, samples=slots.select("skey", "step", "t", F.when(F.col("t") == F.col("at"), F.col("v")).alias("v")))
+    return replace(s, samples=slots.select("skey", "step", "t", F.when(F.col("t") == F.col("at"), F.col("v")).alias("v")), full=True)
 
 
 def within(s: SeriesSet, req: Request) -> SeriesSet:
     """Without the slots before the window."""
     start = req.start(F.col("step"))
     heads = s.heads.withColumn("lo", F.greatest("lo", start))
-    return SeriesSet(heads, s.samples.where(F.col("t") >= start))
-
-
-def sparse(s: SeriesSet) -> SeriesSet:
-    return replace(s, samples=s.samples.where("v is not null"))
+    return replace(s, heads=heads, samples=s.samples.where(F.col("t") >= start))

@@ -21,7 +21,7 @@ def _map(function: str, q: str | Expr, value: Column, on_nulls: bool = False) ->
         s = arg.build(store, req)
         s = dense(s) if on_nulls else s
         out = s.values(value).renamed(derived(function))
-        return replace(out, samples=out.samples.where("v is not null"))
+        return out if out.full else replace(out, samples=out.samples.where("v is not null"))
 
     return Expr(build, arg.target, arg.method)
 

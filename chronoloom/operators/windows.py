@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.times import align, duration
 from chronoloom.operators.leaf import as_expr
-from chronoloom.operators.series import Expr, Request, SeriesSet, Store, by_series, dense, derived, sparse
+from chronoloom.operators.series import Expr, Request, SeriesSet, Store, by_series, dense, derived
 
 #: Windows of more slots than this are taken as differences of running sums.
 LONG_WINDOW = 200
@@ -22,7 +22,7 @@ def _over(function: str, q: str | Expr, value: Column, slots: int) -> Expr:
 
     def build(store: Store, req: Request) -> SeriesSet:
         s = dense(arg.build(store, req.before(slots)))
-        return sparse(s.values(value).renamed(derived(function)))
+        return s.values(value).renamed(derived(function))
 
     return Expr(build, arg.target, arg.method)
 
@@ -56,7 +56,7 @@ def keepLastValue(q: str | Expr, limit: int = 0) -> Expr:
         fits = F.lit(True) if limit <= 0 else F.col("_gap") <= limit
         rows = s.samples.withColumn("_run", run).withColumns({"_gap": gap, "_kept": kept})
         filled = rows.withColumn("v", F.when(F.col("v").isNotNull(), F.col("v")).when((F.col("_run") > 0) & fits, F.col("_kept")))
-        return sparse(replace(s, samples=filled.drop("_run", "_gap", "_kept")).renamed(derived("keepLastValue")))
+        return replace(s, samples=filled.drop("_run", "_gap", "_kept")).renamed(derived("keepLastValue"))
 
     return Expr(build, arg.target, arg.method)
 
@@ -77,15 +77,15 @@ def movingAverage(q: str | Expr, window: int | str, xFilesFactor: float | None =
         if slots is not None and slots <= LONG_WINDOW:
             frame = by_series().rowsBetween(-max(slots - 1, 0), 0)
             value = F.sum("v").over(frame) / size if slots else F.lit(None).cast("double")
-            return sparse(s.values(value).renamed(derived("movingAverage")))
+            return s.values(value).renamed(derived("movingAverage"))
         if slots is None:
             # Slots per duration differ by step: a range frame over slot numbers in seconds.
             frame = by_series().rangeBetween(-seconds, 0)
-            return sparse(s.values(F.sum("v").over(frame) / size).renamed(derived("movingAverage")))
+            return s.values(F.sum("v").over(frame) / size).renamed(derived("movingAverage"))
         sums = s.samples.withColumns({"_s": F.sum("v").over(running), "_n": F.count("v").over(running)})
         past = lambda c: F.coalesce(F.lag(c, slots).over(by_series()), F.lit(0))
         value = F.when(F.col("_n") > past("_n"), (F.col("_s") - past("_s")) / size)
-        return sparse(replace(s, samples=sums.withColumn("v", value).drop("_s", "_n")).renamed(derived("movingAverage")))
+        return replace(s, samples=sums.withColumn("v", value).drop("_s", "_n")).renamed(derived("movingAverage"))
 
     return Expr(build, arg.target, arg.method)
 
@@ -99,6 +99,6 @@ def timeShift(q: str | Expr, shift: str) -> Expr:
         s = arg.build(store, req.shifted(seconds))
         back = lambda c: align(F.col(c) - F.lit(seconds), F.col("step"))
         heads = s.heads.withColumns({"lo": back("lo"), "hi": back("hi")})
-        return SeriesSet(heads, s.samples.withColumn("t", back("t"))).renamed(derived("timeShift"))
+        return replace(s, heads=heads, samples=s.samples.withColumn("t", back("t"))).renamed(derived("timeShift"))
 
     return Expr(build, arg.target, arg.method)

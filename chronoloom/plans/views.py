@@ -26,7 +26,7 @@ def _store(rows: DataFrame, step: int) -> Store:
     names = rows.select("name").distinct().withColumn("id", F.row_number().over(W.orderBy("name")).cast("long"))
     null = F.lit(None).cast("long")
     catalog = names.select("id", "name", n_segs(F.col("name")).alias("n_segs"), F.lit("float64").alias("type"), null.alias("retention"), F.lit(step).cast("long").alias("step"), F.lit(0).cast("long").alias("creation"), null.alias("last_t"))
-    return Store(catalog, rows.join(names, "name").select("id", "t", "v"))
+    return Store(catalog, rows.join(names, "name").select("id", "t", "v"), step)
 
 
 def events(spark: SparkSession, sf_dir: str, step: int = 3600) -> Store:

@@ -19,7 +19,9 @@ SAMPLES = "day long, id long, t long, v double"
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
-    return Store(spark.read.schema(CATALOG).parquet(f"{path}/catalog"), spark.read.schema(SAMPLES).parquet(f"{path}/samples"))
+    catalog = spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+    longest = catalog.agg(F.coalesce(F.max("step"), F.lit(1))).first()[0]
+    return Store(catalog, spark.read.schema(SAMPLES).parquet(f"{path}/samples"), longest)
 
 
 def day(t):
