@@ -189,3 +189,20 @@ def test_json_escapes_and_infinity(spark):
     s = Store(spark.createDataFrame([(1, 'a"b', 1, 60)], "id long, name string, n_segs int, step long").selectExpr("*", "cast(null as long) retention", "cast(null as long) last_t"), spark.createDataFrame([(1, 60, 0.0)], "id long, t long, v double"))
     line = as_json(render(s, [call("invert", "**")], 60, 179)).first().json
     assert line == '{"target":"invert(a\\"b)","datapoints":[[1.7976931348623157E308,60],[null,120]]}'
+
+
+def test_own_measurements(spark, tmp_path):
+    from chronoloom.sources.telemetry import FIELDS, ProgressListener
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.txt").write_text("a 1 60\n")
+    listener = ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        carbon.record(carbon.stream_lines(spark, str(source)), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30000)
+        rows = listener.take(spark).collect()
+    finally:
+        spark.streams.removeListener(listener)
+    assert rows and {r.name.rsplit(".", 1)[1] for r in rows} <= set(FIELDS) and all(re.fullmatch(r"[\w.\-]+", r.name) for r in rows)
