@@ -1,11 +1,12 @@
 """Connected components of an edge table by randomised contraction.
 
-In each round vertices get fresh pseudo-random ranks (a hash of vertex and round,
-so a retried task gives the same), every vertex takes the lowest-ranked vertex
-among itself and its neighbours, and the edges are drawn anew between what their
-ends took. A quarter of the vertices goes in each round on average, whatever the
-shape of the graph, so rounds grow with the logarithm of its size; they end when
-no edge is left. The renamings are then followed backwards and each component is
+In each round vertices have ranks, every vertex takes the lowest-ranked vertex among
+itself and its neighbours, and the edges are drawn anew between what their ends
+took. In the first round a vertex ranks by itself, which settles stars around
+their smallest vertex at once; then ranks are pseudo-random (a hash of vertex and
+round, so a retried task gives the same). A quarter of the vertices goes in each
+such round on average, whatever the shape of the graph, so rounds grow with the
+logarithm of its size; they end when no edge is left. The renamings are then followed backwards and each component is
 named by its smallest vertex.
 
 All of it is grouping and joining: edges are made distinct before each join, hot
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = materialize(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     renamed: list[DataFrame] = []
     while not now.isEmpty():
-        rank = lambda c, n=len(renamed): F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("rank"), F.col(c).alias("x"))
+        rank = lambda c, n=len(renamed): F.struct((F.xxhash64(F.col(c), F.lit(n)) if n else F.lit(0).cast("long")).alias("rank"), F.col(c).alias("x"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
         took = materialize(lowest.select("u", F.least(rank("u"), F.col("m"))["x"].alias("m")), "took")

@@ -9,10 +9,10 @@
    posterior chance (uniform prior) that its similarity reaches the threshold is
    under ``MISS``. Survivors are verified on the full sets of their texts.
 4. Components of the links are found. Where a bucket still holds several
-   components, the members of all but its largest one are compared with the others
-   of other components by the same rule, so that a link between two members that
-   are both far from the smallest one isn't lost. Such buckets are read in blocks,
-   and only pairs that pass leave a block.
+   components, the members of all but its largest one are compared with all members
+   of other components, by signatures and then on full sets, so that a link between
+   two members that are both far from the smallest one isn't lost. Such buckets are
+   read in blocks, and one link between two components is all that leaves a block.
 
 A pair at the threshold shares no bucket with a chance of under 5e-7. Buckets with
 the same members count once. Edges are one per member and made distinct before
@@ -142,8 +142,8 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
 
 #: Ids that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that are compared in one block.
-MEMBERS = 4096
+#: Shingles of a bucket's members that are compared in one block, about.
+BLOCK_SHINGLES = 1_000_000
 
 
 def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -179,27 +179,42 @@ def plausible(pairs: DataFrame, signatures: DataFrame, threshold: float) -> Data
     return near.mapInArrow(run, "a long, b long")
 
 
-def plausible_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of members of one bucket but different components that no
-    comparison of signature batches rules out; from ``(key, size, v, c, n_shingles,
-    signature)``.
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(v, shingles)``: each text's sorted shingle hashes as bytes."""
 
-    A bucket of more than ``MEMBERS`` is dealt into chunks by a hash, and each two
-    chunks meet in a block of their own, so memory is bounded.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(words_of(x.as_py()), width).tobytes() for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["v", "shingles"])
+
+    return texts.select("v", "text").mapInArrow(run, "v long, shingles binary")
+
+
+def links_across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` between components within a bucket, at least one for each two
+    components that have any there; from ``(key, size, v, c, signature, shingles)``,
+    where ``size`` is the number of shingles in the bucket.
+
+    Large buckets are dealt into chunks by a hash, and each two chunks meet in a
+    block of their own, so memory is bounded. A member outside of the block's
+    largest component is compared with all members of other components: signature
+    batches first, then intersections of the full sets, counted for all at once.
     """
+    threshold = num / den
     least = np.array(least_matches(threshold))
-    chunks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    chunks = F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int")
     chunk = F.pmod(F.xxhash64("v"), chunks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    dealt = members.withColumn("chunk", chunk).withColumn("meets", meets).select("key", F.explode("meets").alias("m"), "v", "c", "n_shingles", "signature")
-    dealt = dealt.select("key", "m.i", "m.j", "v", "c", "n_shingles", "signature")
+    dealt = members.withColumn("chunk", chunk).withColumn("meets", meets).select("key", F.explode("meets").alias("m"), "v", "c", "signature", "shingles")
+    dealt = dealt.select("key", "m.i", "m.j", "v", "c", "signature", "shingles")
 
-    def compare(v, c, n, sig) -> list[tuple[int, int]]:
+    def compare(v, c, sig, sets) -> list[tuple[int, int]]:
         _, of = np.unique(c, return_inverse=True)
         largest = np.bincount(of).argmax()
+        n = np.array([len(s) for s in sets])
         out = []
         for i in np.flatnonzero(of != largest):
-            other = (of != of[i]) & ((of == largest) | (np.arange(len(v)) > i)) & (np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (threshold - 1e-9))
+            other = (of != of[i]) & ((of == largest) | (np.arange(len(v)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
             alive = np.flatnonzero(other)
             agree = np.zeros(len(alive), int)
             for k, need in enumerate(least):
@@ -209,7 +224,15 @@ def plausible_across(members: DataFrame, threshold: float) -> DataFrame:
                 agree = agree + (sig[alive, part] == sig[i, part]).sum(1)
                 stay = agree >= need
                 alive, agree = alive[stay], agree[stay]
-            out += [(min(v[i], x), max(v[i], x)) for x in v[alive].tolist()]
+            if not len(alive):
+                continue
+            mine, theirs = sets[i], np.concatenate([sets[k] for k in alive])
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[alive]) - n[alive])
+            linked = alive[den * common >= num * (n[i] + n[alive] - common)]
+            if len(linked):
+                _, first = np.unique(of[linked], return_index=True)
+                out += [(min(int(v[i]), int(v[k])), max(int(v[i]), int(v[k]))) for k in linked[first]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +252,13 @@ def plausible_across(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield _pairs(set(compare(*_gather(held))))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _gather(held: list) -> tuple[np.ndarray, ...]:
-    v, c, n = (np.concatenate([h[k].to_numpy() for h in held]) for k in range(3))
-    sig = np.frombuffer(b"".join(x for h in held for x in h[3].to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
-    return v, c, n, sig
+def _gather(held: list) -> tuple:
+    v, c = (np.concatenate([h[k].to_numpy() for h in held]) for k in range(2))
+    sig = np.frombuffer(b"".join(x for h in held for x in h[2].to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
+    return v, c, sig, [np.frombuffer(x, np.uint64) for h in held for x in h[3].to_pylist()]
 
 
 def _pairs(found) -> pa.RecordBatch:
@@ -304,25 +327,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     banded = named.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key")
-    inside = materialize(banded.join(shared, "key").join(of, "doc_id").select("key", "v").distinct(), "inside")
+    # Written first: a join of two exchanges is one that Spark can split at a hot key.
+    inside = materialize(banded.join(materialize(shared, "shared"), "key").join(of, "doc_id").select("key", "v").distinct(), "inside")
     twins = inside.groupBy("key").agg(F.count("*").alias("size"), F.min("v").alias("a"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
     buckets = twins.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.min("a").alias("a"))
     star = materialize(inside.join(buckets.select("key", "size", "a"), "key"), "stars")
 
     tested = materialize(star.where("v <> a").select("a", F.col("v").alias("b")).distinct(), "pairs")
     links = materialize(verify(materialize(plausible(tested, signatures, threshold), "plausible"), texts, width, num, den), "links")
-    same = member.where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
-    component = connected_components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+    component = materialize(connected_components(links, "a", "b"), "components")
 
-    placed = star.join(component, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    c = component.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+    placed = star.join(c, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key")
-    members = materialize(placed.join(mixed, "key", "left_semi").select("key", "size", "v", "c"), "mixed")
+    members = materialize(placed.join(mixed, "key", "left_semi").select("key", "v", "c"), "mixed")
+    several = member.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a <> z")
+    more = member.join(several, "doc_id").select("a", F.col("v").alias("b")).where("a <> b")
     if not members.isEmpty():
-        known = only(signatures, "v", materialize(members.select("v").distinct(), "ends"))
-        across = plausible_across(members.join(known, "v"), threshold).distinct().join(tested, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(verify(materialize(across, "across"), texts, width, num, den), "links"))
-    component = connected_components(links.unionByName(same), "a", "b")
-    found = component.select(F.col("vertex").alias("doc_id"), "component")
+        ids = materialize(members.select("v").distinct(), "ends")
+        sets = full_sets(only(texts, "v", ids), width)
+        known = materialize(only(signatures, "v", ids).join(sets, "v"), "sets")
+        size = members.join(known.select("v", "n_shingles"), "v").groupBy("key").agg(F.sum("n_shingles").alias("size"))
+        across = links_across(members.join(size, "key").join(known.drop("n_shingles"), "v"), num, den)
+        more = more.unionByName(verify(materialize(across, "across"), texts, width, num, den))
+    more = materialize(more, "more")
+    if not more.isEmpty():
+        component = connected_components(component.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(more), "a", "b")
+    own = of.groupBy("doc_id").agg(F.min("v").alias("v"))
+    found = own.join(component.withColumnRenamed("vertex", "v"), "v", "left").select("doc_id", F.coalesce("component", "v").alias("component"))
     return feats.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
