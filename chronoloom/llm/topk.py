@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAF = 48
 #: Rows of a block of candidates and of queries, on average.
-BLOCK, QUERY_BLOCK = 16384, 1024
+BLOCK, QUERY_BLOCK = 16384, 8192
 
 
 class Node:
@@ -138,12 +139,12 @@ def _rank(row, ids, scores, k):
     return row[nth < k], ids[nth < k], scores[nth < k]
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    lists = column.to_pylist()
-    width = width or max(map(len, lists), default=0)
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists as rows, zeros behind the shorter ones."""
+    lists = column.combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
     return out
 
 
