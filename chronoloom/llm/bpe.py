@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import map_batches
+
 #: One cut per 1,024 bytes on average.
 CUT_BITS = 10
 #: Bytes of distinct text whose ids one Python worker remembers.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +135,7 @@ def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([np.empty(0, np.int32), *parts]), sizes[np.searchsorted(at, starts)]
 
 
-def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows of about ``most`` bytes; null counts as empty."""
     texts, held, start = [], 0, 0
     for i, x in enumerate(column.cast(pa.large_binary())):
@@ -161,7 +163,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists], ["doc_id", "ids"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -189,4 +191,4 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
                 texts.append(data.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

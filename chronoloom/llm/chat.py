@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import map_batches
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What a run of events does to its message.
 KINDS = ("message", "delta", "edit", "regenerate")
@@ -146,7 +148,7 @@ def digest(formatted: DataFrame) -> DataFrame:
             close()
             yield flush()
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.transform(map_batches, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def as_events(turns: DataFrame) -> DataFrame:

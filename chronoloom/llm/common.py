@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch of texts at most: a batch is held several times over, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches that fit texts of any length. When a task is
+    done, its worker, which Spark may use again, gives Arrow's buffers back."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(whole, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.llm.common import map_batches
+
 #: One edit is allowed per so many bytes of an item, as long as each piece has PIECE bytes.
 BYTES_PER_EDIT, PIECE = 16, 12
 #: Items of fewer plain bytes say too little to count as found.
@@ -216,7 +218,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                         at, item, n, k = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "item_id", "distance", "allowed"])
 
-        found = src.mapInArrow(run, schema)
+        found = src.transform(map_batches, run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else src.select("doc_id", F.lit(None).cast(kinds[1]).alias("item_id"), F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("allowed")).where("false")
 
@@ -233,5 +235,5 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 clean = [not hits for _, texts in _slices(batch.column(place)) for hits in matcher.find(texts)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(map_batches, run, docs.schema)
     return docs

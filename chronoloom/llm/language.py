@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import map_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -122,7 +124,7 @@ class Scorer:
         self.third = np.ascontiguousarray(net.tables[1][2])
         self.tail = np.ascontiguousarray(net.tables[2][2][lo] + net.tables[2][3][hi])
 
-    def logits(self, rows: np.ndarray, block: int = 512) -> np.ndarray:
+    def logits(self, rows: np.ndarray, block: int = 128) -> np.ndarray:
         out = np.empty((len(rows), len(self.net.languages)), np.float32)
         for k in range(0, len(rows), block):
             x = rows[k : k + block]
@@ -185,7 +187,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 old = [c.slice(start, len(texts)) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*old, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return src.mapInArrow(run, kept.add("lang_pred", "string").add("score", "double"))
+    return src.transform(map_batches, run, kept.add("lang_pred", "string").add("score", "double"))
 
 
 def accepted(docs: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
@@ -204,10 +206,10 @@ def accepted(docs: DataFrame, net: Network | None, least: float, text_col: str =
                     good[start + np.array(some)] = scorer.predict([texts[i] for i in some])[1] >= least
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)
 
 
-def _runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
+def _runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
     texts, held, start = [], 0, 0
     for i, x in enumerate(column.cast(pa.large_binary())):
         texts.append(x.as_py())

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import map_batches, materialize
 from chronoloom.llm.graph import connected_components
 
 ROWS, BANDS, BATCH = 6, 48, 32
 #: Chance of dropping a pair that reaches the threshold, at each comparison.
 MISS = 1e-7
 #: Words whose hashes one Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
@@ -120,7 +120,7 @@ def features(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
+    return src.transform(map_batches, run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
 @lru_cache(maxsize=8)
@@ -176,7 +176,7 @@ def plausible(pairs: DataFrame, signatures: DataFrame, threshold: float) -> Data
                 alive, agree = alive[stay], agree[stay]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["a", "b"])
 
-    return near.mapInArrow(run, "a long, b long")
+    return near.transform(map_batches, run, "a long, b long")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -187,7 +187,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [shingles(words_of(x.as_py()), width).tobytes() for x in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["v", "shingles"])
 
-    return texts.select("v", "text").mapInArrow(run, "v long, shingles binary")
+    return texts.select("v", "text").transform(map_batches, run, "v long, shingles binary")
 
 
 def links_across(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,7 +252,7 @@ def links_across(members: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield _pairs(set(compare(*_gather(held))))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(map_batches, run, "a long, b long").distinct()
 
 
 def _gather(held: list) -> tuple:
@@ -301,7 +301,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
                 ok.append(similar(words, words_of(tb.as_py()), width, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.transform(map_batches, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

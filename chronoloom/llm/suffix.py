@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import map_batches, materialize
 
 GRAM, WORD = 64, 8
 #: Bytes of segments that are compared in one block, and bytes of one gram's segments that go to a block at most.
-BLOCK, HOT = 4 << 20, 24 << 20
+BLOCK, HOT = 2 << 20, 24 << 20
 #: Bytes of text whose grams are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -108,7 +108,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                     ["d", "r", "f", "dg", "lo", "hi", "at"],
                 )
 
-    return keyed.mapInArrow(run, "d long, r long, f long, dg long, lo long, hi long, at long")
+    return keyed.transform(map_batches, run, "d long, r long, f long, dg long, lo long, hi long, at long")
 
 
 def _parts(column: pa.Array, length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -294,7 +294,7 @@ def _compare(segments: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.repartition("f").sortWithinPartitions("f", "dg").mapInArrow(run, f"f long, dg long, spans {_SPANS}")
+    return segments.repartition("f").sortWithinPartitions("f", "dg").transform(map_batches, run, f"f long, dg long, spans {_SPANS}")
 
 
 def _compare_hot(segments: DataFrame, length: int) -> DataFrame:
@@ -309,7 +309,7 @@ def _compare_hot(segments: DataFrame, length: int) -> DataFrame:
                 k = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *(pa.array([x] * k, pa.int64()) for x in (f, dg, n)), pa.array(range(k), pa.int64())], ["h1", "h2", "f", "dg", "n", "s"])
 
-    windows = segments.mapInArrow(run, "h1 long, h2 long, f long, dg long, n long, s long")
+    windows = segments.transform(map_batches, run, "h1 long, h2 long, f long, dg long, n long, s long")
     often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     return windows.join(often, ["h1", "h2"], "left_semi").groupBy("f", "dg").agg(F.collect_list(F.struct("s", F.col("s").alias("e"))).alias("spans"))
 
@@ -319,7 +319,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     keyed = _keyed(docs, id_col, text_col)
     rows = materialize(_anchor_rows(keyed.where(F.octet_length("text") >= length), length), "anchors")
     shared = rows.groupBy("f").agg(F.count("*").alias("n"), (F.min("dg") == F.max("dg")).alias("alike")).where("n > 1").select("f", "alike")
-    occ = materialize(rows.join(shared, "f"), "occurrences")
+    # Written first: a join of two exchanges is one that Spark can split at a hot gram.
+    occ = materialize(rows.join(materialize(shared, "shared"), "f"), "occurrences")
 
     one = occ.where("not alike").groupBy("f", "dg").agg(F.count("*").alias("n"), F.min(F.struct("d", "r", "lo", "hi", "at")).alias("x"))
     one = materialize(one.select("f", "dg", "n", "x.*"), "segments")
@@ -336,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["f", "dg", "n", "off", "seg", "heavy"])
 
-    cuts = keyed.join(wanted, ["d", "r"]).select("text", "want").mapInArrow(cut, "f long, dg long, n long, off long, seg binary, heavy boolean")
+    cuts = keyed.join(wanted, ["d", "r"]).select("text", "want").transform(map_batches, cut, "f long, dg long, n long, off long, seg binary, heavy boolean")
     if heavy.isEmpty():
         spans = _compare(cuts.drop("heavy"), length)
     else:
@@ -388,4 +389,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 left.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())], [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return met.mapInArrow(run, kept_schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary"))
+    return met.transform(map_batches, run, kept_schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary"))

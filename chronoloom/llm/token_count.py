@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import map_batches
+
 BLANK = "▁"
 #: How much worse than the worst piece an unknown character is (fixed value of the tokenizers library).
 UNKNOWN_PENALTY = 10.0
@@ -117,4 +119,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             counts = [count_text(x.as_py() or "", counter) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long")
