@@ -191,7 +191,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+    return ctw.score(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2), depth=ctw.DEEPEST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
