@@ -3,8 +3,8 @@ stage before it kept.
 
 A stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``; the
 last one returns tokens. Between stages the documents are written to the shared
-folder and read again, so a lost executor costs one stage at most. A document
-whose id is null can't be a duplicate of another; null texts go with the first
+folder and read again, so a lost executor costs one stage at most. Documents are
+told apart by row, so ids may repeat or be null; null texts go with the first
 stage, as they have no language; empty tables stay empty, and further columns pass
 through whatever their names.
 """
@@ -32,10 +32,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near-duplicates (shingles of five words,
-    similarity of 0.8 or more) the document with the smallest id stays."""
-    found = minhash.near_duplicates(docs, width=5, num=80, den=100)
-    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    similarity of 0.8 or more) the document with the smallest id stays, one with a null
+    id only if all are null. Rows are linked by numbers of their own, so of rows with
+    one id, too, just one stays."""
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column's name
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(numbered, width=5, num=80, den=100, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    ids = numbered.select(row, F.col("doc_id").cast("long").alias("id"))
+    first = found.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row"))).alias("x"))
+    stays = materialize(first.select(F.col("x.row").alias(row)), "stays")
+    return numbered.join(stays, row, "left_semi").select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
