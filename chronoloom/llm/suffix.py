@@ -261,6 +261,45 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1) - 1
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_in(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word: what stands between blanks; a character of a script
+    that doesn't part words (Han, kana, Thai and its neighbours) is a word of its own."""
+    b = np.frombuffer(text, np.uint8)
+    after = np.append(b[1:], 0)[: len(b)]
+    three = ((b >= 0xE3) & (b <= 0xE9)) | ((b == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((b == 0xE1) & ((after <= 0x82) | (after == 0x9E) | (after == 0x9F))) | ((b == 0xEF) & (after >= 0xA4) & (after <= 0xAB))
+    four = (b == 0xF0) & (after >= 0xA0)
+    alone = three | four
+    inside = alone.copy()
+    for k in (1, 2):
+        inside[k:] |= alone[:-k] if len(b) > k else False
+    inside[3:] |= four[:-3] if len(b) > 3 else False
+    plain = ~_BLANK[b] & ~inside
+    first, last = _runs(plain)
+    at = np.flatnonzero(alone)
+    start, end = np.append(first, at), np.append(last + 1, at + np.where(four[at], 4, 3))
+    order = np.argsort(start)
+    return start[order], end[order]
+
+
+def has_short_words(docs: DataFrame, words: int, below: int, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text some ``words`` words in a row have fewer bytes than ``below``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for x in batch.column(place).cast(pa.large_binary()):
+                start, end = words_in(x.as_py() or b"")
+                some.append(len(start) >= words and bool((end[words - 1 :] - start[: len(start) - words + 1] < below).any()))
+            yield batch.filter(pa.array(some, pa.bool_()))
+
+    return docs.transform(map_batches, run, docs.schema)
+
+
 _SPANS = "array<struct<s:long,e:long>>"
 _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -349,7 +388,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return wholly.unionByName(partly).groupBy("d", "r").agg(F.collect_list("x").alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot: int = HOT, words: int = 0) -> DataFrame:
     """``(doc_id, *keep, n_bytes, n_removed, n_spans, kept)`` of each row; ``kept`` is
     what is left of the text, as bytes.
 
@@ -358,10 +397,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     windows; null ids are fine. An empty table gives no rows; further columns are
     ignored. Bytes are judged on the input: overlaps count and nothing is judged
     anew after removal. A cut may part a character.
+
+    With ``words`` only runs of repeated windows that hold so many whole words go,
+    and none of these is missed for being short: texts in which so many words have
+    fewer than ``length`` bytes are searched by the least bytes that they can have, too.
     """
+    least = 2 * words - 1
     if length < GRAM + 2 * WORD:
         raise ValueError(f"length must be at least {GRAM + 2 * WORD}")
-    spans = materialize(repeated_spans(docs, length, id_col, text_col, hot), "starts")
+    if words and least < GRAM + 2 * WORD:
+        raise ValueError(f"words must be 0 or at least {GRAM // 2 + WORD + 1}")
+    sizes_of = F.lit(length).alias("size")
+    spans = repeated_spans(docs, length, id_col, text_col, hot).select("d", "r", F.struct(sizes_of, "starts").alias("x"))
+    if words and least < length:
+        short = materialize(has_short_words(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), words, length, text_col), "short")
+        spans = spans.unionByName(repeated_spans(short, least, id_col, text_col, hot).select("d", "r", F.struct(F.lit(least).alias("size"), "starts").alias("x")))
+    # A text has one list of each length at most.
+    spans = materialize(spans.groupBy("d", "r").agg(F.collect_list("x").alias("starts")), "starts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text, F.col(id_col).isNull()).alias("_r"), text.alias("_text"))
     met = rows.join(spans.select(F.col("d").alias("_d"), F.col("r").alias("_r"), F.col("starts").alias("_starts")), ["_d", "_r"], "left").select("doc_id", *keep, "_text", "_starts")
@@ -380,9 +432,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     left.append(text)
                     continue
                 step = np.zeros(len(text) + 1, np.int64)
-                flat = starts.values
-                np.add.at(step, flat.field("s").to_numpy(), 1)
-                np.add.at(step, flat.field("e").to_numpy() + length, -1)
+                if words:
+                    begin, end = words_in(text)
+                for found in starts.values.to_pylist():
+                    size, mark = found["size"], np.zeros(len(text) + 1, np.int64)
+                    flat = np.array([(x["s"], x["e"]) for x in found["starts"]], np.int64).reshape(-1, 2)
+                    np.add.at(mark, flat[:, 0], 1)
+                    np.add.at(mark, flat[:, 1] + 1, -1)
+                    s, e = _runs(np.cumsum(mark) > 0)
+                    e = e + size
+                    if words:
+                        enough = np.searchsorted(end, e, side="right") - np.searchsorted(begin, s) >= words
+                        s, e = s[enough], e[enough]
+                    np.add.at(step, s, 1)
+                    np.add.at(step, e, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 removed.append(int(gone.sum()))
                 runs.append(len(_runs(gone)[0]))

@@ -20,7 +20,9 @@ from chronoloom.llm.queries import tokenizer_path
 
 #: Below this score no language is likelier than the others together by much; real texts lie far above it.
 LEAST_SCORE = 0.3
-#: A passage of more than 50 words has more bytes than this.
+#: Passages of so many words go if they repeat.
+REPEAT_WORDS = 51
+#: All texts are searched for repeats of so many bytes, those in which so many words can be shorter for shorter ones, too.
 REPEAT_BYTES = 240
 
 
@@ -45,10 +47,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: passages that repeat go from all texts; characters that a cut
+    """Operator 8: passages of more than 50 words that repeat go from all texts; characters that a cut
     parts go with them. The documents themselves stay."""
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    left = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep=("row",))
+    left = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep=("row",), words=REPEAT_WORDS)
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
     return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
