@@ -5,9 +5,10 @@ equal passages give equal chunks in any document. A chunk is encoded once per
 Python worker: its result is kept in a bounded cache that outlives Arrow batches
 and tasks. What a chunk's encoding says about its first and last few tokens may
 be wrong in another surrounding, so only the part between the chunk's first and
-last *certain* boundary is used, and each join is repaired by encoding the text
-between two such boundaries anew; the window grows over further chunks until
-both of its ends agree with the neighbours.
+last *certain* boundary is shared, and the text between two such parts is encoded
+once, too. Nothing is encoded again or compared at the joins: certain boundaries take
+the place of that. Text without them (scripts without blanks, long unbroken runs) has
+no parts to share and is encoded anew in each document.
 
 A boundary is certain at a single space that stands between two visible ASCII
 characters: no alternative of the pre-tokenizer's pattern matches a space after
