@@ -154,3 +154,36 @@ def digest(formatted: DataFrame) -> DataFrame:
 def as_events(turns: DataFrame) -> DataFrame:
     """A plain table of turns as a log: each row is one ``message``."""
     return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+
+
+#: Characters of a streamed delta.
+DELTA = 256
+
+
+def as_stream(turns: DataFrame) -> DataFrame:
+    """A plain table of turns as the log of a chat service that ends in these turns: by
+    a hash of its text a turn came as one ``message``; as a draft and an ``edit``; as an
+    empty message and streamed ``delta`` parts; or as a draft with a part behind it that
+    a ``regenerate`` took back before the parts of the text.
+
+    Rows of one turn come one after another by role and text, each with its own events.
+    Null text counts as empty; an empty table gives no events.
+    """
+    text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("role").cast("string")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    places = F.sequence(F.lit(0), F.ceil(F.length("text") / DELTA).cast("int") - 1)
+    parts = F.when(F.length("text") > 0, F.transform(places, lambda i: event("delta", F.substring(F.col("text"), i * DELTA + 1, F.lit(DELTA))))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    draft = event("message", F.concat(F.lit("draft "), F.reverse(F.substring("text", 1, DELTA))))
+    ways = [
+        F.array(event("message", F.col("text"))),
+        F.array(draft, event("edit", F.col("text"))),
+        F.concat(F.array(event("message", F.lit(""))), parts),
+        F.concat(F.array(draft, event("delta", F.lit(" and more")), event("regenerate", F.lit(""))), parts),
+    ]
+    way = F.pmod(F.xxhash64("text"), F.lit(len(ways)))
+    log = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    sent = rows.withColumn("nth", nth).select("conv_id", "turn", "role", "nth", F.posexplode(log).alias("at", "event"))
+    seq = F.shiftleft(F.col("nth").cast("long"), 32) + F.col("at")
+    return sent.select("conv_id", seq.alias("seq"), "event.kind", "turn", "role", "event.text")

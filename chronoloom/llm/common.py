@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (as
-    in unit tests on one machine) a temporary folder is made and remembered.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all
+    of Spark runs in one process (as in unit tests) a temporary folder is made and
+    remembered; on a cluster it would lose data, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.chronoloom.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         path = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.chronoloom.dir", path)
     return path.rstrip("/")
@@ -31,16 +35,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast at most (two longs each, about 100 bytes in a hash table).
+FEW = 250_000
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether ``keys`` (narrow, and written already) may be broadcast; counts no further than that."""
+    return keys.limit(FEW + 1).count() <= FEW
+
+
 #: Rows and bytes of an Arrow batch of texts at most: a batch is held several times over, in the JVM and in Python.
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches that fit texts of any length. When a task is
-    done, its worker, which Spark may use again, gives Arrow's buffers back."""
+    """``df.mapInArrow`` with batches that fit texts of any length: Spark reads their
+    size from the session when a query runs, so larger settings are lowered there, and
+    smaller ones of the user's stay. When a task is done, its worker, which Spark may
+    use again, gives Arrow's buffers back."""
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def whole(batches):
         try:

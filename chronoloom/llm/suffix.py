@@ -7,9 +7,11 @@ else. Starts that can't repeat are ruled out first, without losing any:
    with the smallest hash. Equal windows choose the same gram at the same offset,
    so windows only need comparing where a gram's hash occurs more than once. The
    windows that share a gram form one segment of the text.
-2. Grams are counted by hash. If all occurrences of a gram have equal segments,
-   all their windows repeat; else one copy of each distinct segment is fetched.
-3. Distinct segments are dealt by gram and joined into blocks. A block is read as
+2. Grams are counted by hash. Of each distinct segment of a gram that occurs more
+   than once (distinct by a second hash), one copy is fetched, or two from different
+   places if there are more: what repeats only in equal segments is found by the
+   transform, too, on the bytes of two of them.
+3. Segments are dealt by gram and joined into blocks. A block is read as
    eight-byte words on a grid through the gram, its suffix array and
    Burrows-Wheeler transform are built, and breadth-first backward extension finds
    the boundaries between suffixes by increasing common prefix: an interval of
@@ -22,8 +24,9 @@ else. Starts that can't repeat are ruled out first, without losing any:
 Segments of one gram that exceed a block (a passage shared by millions of
 different documents) are compared by 128-bit hashes of all their windows instead,
 counted by Spark; the result is the same. Copies are collapsed before anything is
-gathered, a document's own spans are the only lists that are collected, and texts
-are shuffled by document, never by passage.
+gathered, a document's own spans are the only lists that are collected, each span
+once, and only texts that hold a repeat are shuffled, by document, never by passage
+(all of them, where there are too many such texts for their keys to be broadcast).
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import map_batches, materialize
+from chronoloom.llm.common import few, map_batches, materialize
 
 GRAM, WORD = 64, 8
 #: Bytes of segments that are compared in one block, and bytes of one gram's segments that go to a block at most.
@@ -305,20 +308,20 @@ _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def _compare(segments: DataFrame, length: int) -> DataFrame:
-    """``(f, dg, spans)`` from ``(f, dg, n, off, seg)``, in blocks sorted by gram."""
+    """``(f, dg, spans)`` from ``(f, dg, off, seg)``, in blocks sorted by gram; of two
+    copies of a segment the first is told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def flush():
-            masks = repeated_starts([x[4] for x in held], [x[3] for x in held], length)
-            rows = []
-            for (f, dg, n, _, _), mask in zip(held, masks, strict=True):
-                if n > 1:
-                    mask[:] = True
-                if mask.any():
+            masks = repeated_starts([x[3] for x in held], [x[2] for x in held], length)
+            rows, told = [], None
+            for (f, dg, _, _), mask in zip(held, masks, strict=True):
+                if mask.any() and (f, dg) != told:
                     rows.append((f, dg, [{"s": s, "e": e} for s, e in zip(*map(np.ndarray.tolist, _runs(mask)), strict=True)]))
+                told = f, dg
             held.clear()
             f, dg, spans = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(dg, pa.int64()), pa.array(spans, _SPAN_TYPE)], ["f", "dg", "spans"])
@@ -329,7 +332,7 @@ def _compare(segments: DataFrame, length: int) -> DataFrame:
                     yield flush()
                     size = 0
                 held.append(row)
-                size, last = size + len(row[4]), row[0]
+                size, last = size + len(row[3]), row[0]
         if held:
             yield flush()
 
@@ -342,55 +345,65 @@ def _compare_hot(segments: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, dg, n, _, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, dg, _, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = [xxhash.xxh3_128_intdigest(seg[p : p + length]) for p in range(len(seg) - length + 1)]
                 hashes = np.array([(x >> 64, x & (2**64 - 1)) for x in h], np.uint64).view(np.int64).reshape(-1, 2)
                 k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *(pa.array([x] * k, pa.int64()) for x in (f, dg, n)), pa.array(range(k), pa.int64())], ["h1", "h2", "f", "dg", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *(pa.array([x] * k, pa.int64()) for x in (f, dg)), pa.array(range(k), pa.int64())], ["h1", "h2", "f", "dg", "s"])
 
-    windows = segments.transform(map_batches, run, "h1 long, h2 long, f long, dg long, n long, s long")
-    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(often, ["h1", "h2"], "left_semi").groupBy("f", "dg").agg(F.collect_list(F.struct("s", F.col("s").alias("e"))).alias("spans"))
+    windows = segments.transform(map_batches, run, "h1 long, h2 long, f long, dg long, s long")
+    often = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return windows.join(often, ["h1", "h2"], "left_semi").select("f", "dg", "s").distinct().groupBy("f", "dg").agg(F.collect_list(F.struct("s", F.col("s").alias("e"))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(d, r, starts)``: for each text with any, the runs of starts of repeated windows."""
     keyed = _keyed(docs, id_col, text_col)
     rows = materialize(_anchor_rows(keyed.where(F.octet_length("text") >= length), length), "anchors")
-    shared = rows.groupBy("f").agg(F.count("*").alias("n"), (F.min("dg") == F.max("dg")).alias("alike")).where("n > 1").select("f", "alike")
+    shared = rows.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     # Written first: a join of two exchanges is one that Spark can split at a hot gram.
     occ = materialize(rows.join(materialize(shared, "shared"), "f"), "occurrences")
 
-    one = occ.where("not alike").groupBy("f", "dg").agg(F.count("*").alias("n"), F.min(F.struct("d", "r", "lo", "hi", "at")).alias("x"))
-    one = materialize(one.select("f", "dg", "n", "x.*"), "segments")
-    heavy = one.groupBy("f").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where(F.col("size") > hot).select("f", F.lit(True).alias("heavy"))
-    wanted = one.join(heavy, "f", "left").groupBy("d", "r").agg(F.collect_list(F.struct("f", "dg", "n", "heavy", "lo", "hi", "at")).alias("want"))
+    place = F.struct("d", "r", "lo", "hi", "at")
+    one = occ.groupBy("f", "dg").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y"))
+    one = materialize(one.select("f", "dg", F.explode(F.when(F.col("n") > 1, F.array("x", "y")).otherwise(F.array("x"))).alias("x")).select("f", "dg", "x.*"), "segments")
+    heavy = materialize(one.groupBy("f").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where(F.col("size") > hot).select("f", F.lit(True).alias("heavy")), "heavy")
+    wanted = one.join(F.broadcast(heavy) if few(heavy) else heavy, "f", "left").groupBy("d", "r").agg(F.collect_list(F.struct("f", "dg", "heavy", "lo", "hi", "at")).alias("want"))
+    wanted = materialize(wanted, "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, want in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                out += [(w["f"], w["dg"], w["n"], w["at"] - w["lo"], text[w["lo"] : w["hi"] + length], bool(w["heavy"])) for w in want.as_py()]
-            columns = zip(*out, strict=True) if out else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["f", "dg", "n", "off", "seg", "heavy"])
-
-    cuts = keyed.join(wanted, ["d", "r"]).select("text", "want").transform(map_batches, cut, "f long, dg long, n long, off long, seg binary, heavy boolean")
+                out += [(w["f"], w["dg"], w["at"] - w["lo"], text[w["lo"] : w["hi"] + length], bool(w["heavy"])) for w in want.as_py()]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["f", "dg", "off", "seg", "heavy"])
+
+    # Repeated rows are one text here: two places may be the same one in two of them.
+    texts = _met(keyed, wanted).dropDuplicates(["d", "r"])
+    cuts = texts.join(wanted, ["d", "r"]).select("text", "want").transform(map_batches, cut, "f long, dg long, off long, seg binary, heavy boolean")
     if heavy.isEmpty():
         spans = _compare(cuts.drop("heavy"), length)
     else:
         cuts = materialize(cuts, "cuts")
         spans = _compare(cuts.where("not heavy").drop("heavy"), length).unionByName(_compare_hot(cuts.where("heavy").drop("heavy"), length))
     spans = materialize(spans, "spans")
-    partly = occ.where("not alike").join(spans, ["f", "dg"]).select("d", "r", "lo", F.explode("spans").alias("x")).select("d", "r", F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")).alias("x"))
-    wholly = occ.where("alike").select("d", "r", F.struct(F.col("lo").alias("s"), F.col("hi").alias("e")).alias("x"))
-    return wholly.unionByName(partly).groupBy("d", "r").agg(F.collect_list("x").alias("starts"))
+    starts = occ.join(spans, ["f", "dg"]).select("d", "r", "lo", F.explode("spans").alias("x")).select("d", "r", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
+    return starts.distinct().groupBy("d", "r").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
+
+
+def _met(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose (d, r) is in ``keys``, as far as these can be broadcast."""
+    keys = keys.select("d", "r")
+    return rows.join(F.broadcast(keys), ["d", "r"], "left_semi") if few(keys) else rows
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot: int = HOT, words: int = 0) -> DataFrame:
-    """``(doc_id, *keep, n_bytes, n_removed, n_spans, kept)`` of each row; ``kept`` is
-    what is left of the text, as bytes.
+    """``(doc_id, *keep, n_bytes, n_removed, n_spans, kept, left)`` of each row;
+    ``kept`` is what is left of the text, as bytes, ``left`` the same as text:
+    without the rest of characters that a cut parts.
 
     Null text counts as empty; a text shorter than ``length`` loses nothing. Rows
     are texts of their own whatever their ids, so repeated rows lose all their
@@ -415,41 +428,58 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     # A text has one list of each length at most.
     spans = materialize(spans.groupBy("d", "r").agg(F.collect_list("x").alias("starts")), "starts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text, F.col(id_col).isNull()).alias("_r"), text.alias("_text"))
-    met = rows.join(spans.select(F.col("d").alias("_d"), F.col("r").alias("_r"), F.col("starts").alias("_starts")), ["_d", "_r"], "left").select("doc_id", *keep, "_text", "_starts")
-    kept_schema = met.drop("_text", "_starts").schema
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d"), F.xxhash64(text, F.col(id_col).isNull()).alias("r"), text.alias("text"))
+    out = rows.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("left", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, left = [], [], [], []
-            k = batch.num_columns
-            for text, starts in zip(batch.column(k - 2), batch.column(k - 1), strict=True):
+            sizes, removed, runs, left, whole = [], [], [], [], []
+            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
                 sizes.append(len(text))
-                if not starts.is_valid:
-                    removed.append(0)
-                    runs.append(0)
-                    left.append(text)
-                    continue
-                step = np.zeros(len(text) + 1, np.int64)
-                if words:
-                    begin, end = words_in(text)
-                for found in starts.values.to_pylist():
-                    size, mark = found["size"], np.zeros(len(text) + 1, np.int64)
-                    flat = np.array([(x["s"], x["e"]) for x in found["starts"]], np.int64).reshape(-1, 2)
-                    np.add.at(mark, flat[:, 0], 1)
-                    np.add.at(mark, flat[:, 1] + 1, -1)
-                    s, e = _runs(np.cumsum(mark) > 0)
-                    e = e + size
-                    if words:
-                        enough = np.searchsorted(end, e, side="right") - np.searchsorted(begin, s) >= words
-                        s, e = s[enough], e[enough]
-                    np.add.at(step, s, 1)
-                    np.add.at(step, e, -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = _gone(text, starts.values.to_pylist() if starts.is_valid else [], words)
+                raw = np.frombuffer(text, np.uint8)
                 removed.append(int(gone.sum()))
                 runs.append(len(_runs(gone)[0]))
-                left.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())], [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return met.transform(map_batches, run, kept_schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary"))
+                left.append(raw[~gone].tobytes())
+                whole.append(raw[~_whole_characters(raw, gone)].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary()), pa.array(whole, pa.string())], out.names)
+
+    if few(spans):
+        # Only texts that lose something are shuffled or seen by Python.
+        keys = F.broadcast(spans.select("d", "r"))
+        some = rows.join(keys, ["d", "r"], "left_semi")
+        rest = rows.join(keys, ["d", "r"], "left_anti")
+        whole = rest.select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"), F.col("text").cast("string").alias("left"))
+        cut = some.join(spans, ["d", "r"]).select("row", "text", "starts").transform(map_batches, run, out).unionByName(whole)
+    else:
+        cut = rows.join(spans, ["d", "r"], "left").select("row", "text", "starts").transform(map_batches, run, out)
+    return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept", "left")
+
+
+def _gone(text: bytes, lists: list[dict], words: int) -> np.ndarray:
+    """Which bytes go, from the starts of repeated windows of each size."""
+    step = np.zeros(len(text) + 1, np.int64)
+    if words and lists:
+        begin, end = words_in(text)
+    for found in lists:
+        size, mark = found["size"], np.zeros(len(text) + 1, np.int64)
+        flat = np.array([(x["s"], x["e"]) for x in found["starts"]], np.int64).reshape(-1, 2)
+        np.add.at(mark, flat[:, 0], 1)
+        np.add.at(mark, flat[:, 1] + 1, -1)
+        s, e = _runs(np.cumsum(mark) > 0)
+        e = e + size
+        if words:
+            enough = np.searchsorted(end, e, side="right") - np.searchsorted(begin, s) >= words
+            s, e = s[enough], e[enough]
+        np.add.at(step, s, 1)
+        np.add.at(step, e, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, and all bytes of a character of which one is gone."""
+    if not gone.any():
+        return gone
+    character = np.cumsum((raw & 0xC0) != 0x80)
+    return np.bincount(character, gone)[character] > 0
