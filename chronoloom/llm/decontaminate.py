@@ -27,8 +27,8 @@ from chronoloom.llm.common import map_batches
 
 #: One edit is allowed per so many bytes of an item, as long as each piece has PIECE bytes.
 BYTES_PER_EDIT, PIECE = 16, 12
-#: Items of fewer plain bytes say too little to count as found.
-LEAST = 20
+#: Items of fewer plain bytes are exact only, and not within a word; those shorter than a piece aren't searched (see ``unsearched``).
+LOOSE = 20
 #: Bytes of items in one broadcast block.
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
@@ -103,7 +103,7 @@ class Matcher:
         return ((a * _C1) ^ (b * _C2)) >> np.uint64(64 - _TABLE_BITS)
 
     def find(self, texts: list[bytes]) -> list[dict]:
-        """For each plain text, the smallest distance of each item found in it."""
+        """For each plain text, the smallest distance of each item found in it, and how much is allowed."""
         found: list[dict] = [{} for _ in texts]
         if not self.first:
             return found
@@ -117,12 +117,15 @@ class Matcher:
                 if data[p : p + len(piece)] != piece or (d, id(item), p - at) in tried:
                     continue
                 tried.add((d, id(item), p - at))
-                if found[d].get(item.item_id, item.k + 1) == 0:
+                best = found[d].get(item.item_id, (item.k + 1, 0))
+                if best[0] == 0:
                     continue
                 base, stop = int(starts[d]), int(starts[d + 1]) - 1
+                if len(item.text) < LOOSE and not (_parted(data, p) and _parted(data, p + len(item.text))):
+                    continue
                 distance = self._distance(item, data, p - at, base, stop)
-                if distance <= item.k and distance < found[d].get(item.item_id, item.k + 1):
-                    found[d][item.item_id] = distance
+                if distance <= item.k and (distance, item.k) < best:
+                    found[d][item.item_id] = (distance, item.k)
         return found
 
     def _distance(self, item: Item, data: bytes, start: int, base: int, stop: int) -> int:
@@ -137,6 +140,24 @@ class Matcher:
         return self.seen[key]
 
 
+def _parted(data: bytes, at: int) -> bool:
+    """Whether no ASCII word goes on across this place."""
+    return at == 0 or not all(c < 128 and chr(c).isalnum() for c in data[at - 1 : at + 1])
+
+
+def unsearched(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``items`` that :func:`find_items` can't search: without an id or a
+    text, or with fewer than ``PIECE`` plain bytes."""
+    names = items.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (batch.column(names.index(c)) for c in (item_id, item_text))
+            yield batch.filter(pa.array([not i.is_valid or len(plain(t.as_py())) < PIECE for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+
+    return items.transform(map_batches, run, items.schema)
+
+
 def _id_kind(items: DataFrame, id_col: str) -> str:
     """Ids of items travel as whole numbers or as text."""
     return "bigint" if isinstance(items.schema[id_col].dataType, T.IntegralType) else "string"
@@ -149,7 +170,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
         rows = src.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield [(r.item_id, t) for r in rows if len(t := plain(r.text)) >= LEAST]
+        yield [(r.item_id, t) for r in rows if len(t := plain(r.text)) >= PIECE]
 
 
 _MATCHERS: dict[int, Matcher] = {}
@@ -196,31 +217,35 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     deleted or replaced in the plain form) and how many are allowed.
 
     Null texts and ids of items are no items, nor are items of fewer than
-    ``LEAST`` plain bytes; equal items with different ids are found each, and of
-    different items with one id the nearest counts within a block. Null and empty
+    ``PIECE`` plain bytes (:func:`unsearched` returns them); shorter ones than
+    ``LOOSE`` must be exact and stand between words. Equal items with different ids are
+    found each, and of different items with one id the nearest counts. Null and empty
     documents hold nothing; rows with equal or null ids are searched each.
     Without documents or items there are no rows; further columns are ignored.
+    ``docs`` is read once per block of items and must give its rows in the same order
+    each time, as tables do.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     kinds = [src.schema["doc_id"].dataType.simpleString(), _id_kind(items, item_id)]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance long, allowed long"
-    out = None
+    schema = f"row long, doc_id {kinds[0]}, item_id {kinds[1]}, distance long, allowed long"
+    out, several = None, False
     for block in _blocks(items, item_id, item_text):
         sent = _Sent(docs.sparkSession.sparkContext, block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(sent)
-            allowed = {x.item_id: x.k for x in matcher.items}
             for batch in batches:
                 for start, texts in _slices(batch.column(1)):
-                    rows = [(start + i, item, n, allowed[item]) for i, hits in enumerate(matcher.find(texts)) for item, n in hits.items()]
+                    rows = [(start + i, item, n, k) for i, hits in enumerate(matcher.find(texts)) for item, (n, k) in hits.items()]
                     if rows:
                         at, item, n, k = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "item_id", "distance", "allowed"])
+                        yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(at)), batch.column(0).take(pa.array(at)), pa.array(item), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["row", "doc_id", "item_id", "distance", "allowed"])
 
         found = src.transform(map_batches, run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else src.select("doc_id", F.lit(None).cast(kinds[1]).alias("item_id"), F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("allowed")).where("false")
+        out, several = found if out is None else out.unionByName(found), out is not None
+    if several:  # an id may have items in different blocks
+        out = out.groupBy("row", "doc_id", "item_id").agg(F.min(F.struct("distance", "allowed")).alias("x")).select("doc_id", "item_id", "x.*")
+    return out.select("doc_id", "item_id", "distance", "allowed") if out is not None else src.select("doc_id", F.lit(None).cast(kinds[1]).alias("item_id"), F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("allowed")).where("false")
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
