@@ -28,8 +28,8 @@ from chronoloom.llm.common import map_batches
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: The sample for training: so many texts of each language, of so many languages, and so many characters of each text from a place that its hash names.
-PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS = 240, 256, 2048
+#: The sample for training: so many texts of each language, in all at most so many, and so many characters of each text from a place that its hash names.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 240, 61_440, 2048
 UNKNOWN = "und"
 _STEP = WINDOW - max(WIDTHS) + 1
 #: Case of ASCII letters says nothing about the language.
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """Train on a bounded sample of the labelled rows that are not held out.
 
     Takes the ``PER_LANGUAGE`` rows of each language with the smallest hash of
-    text, of the ``LANGUAGES`` first languages at most. None without any row.
+    text, fewer of each where there are so many languages that this would be more than
+    ``SAMPLE_ROWS``; no language is left out. None without any row.
     """
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     rank = F.xxhash64(text)
@@ -159,8 +160,9 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         lang.alias("lang"), rank.alias("rank"), F.substring(text, (F.pmod(rank, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")
     )
     first = W.partitionBy("lang").orderBy("rank", "piece")
-    sample = usable.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_LANGUAGE).drop("nth")
-    rows = sample.orderBy("lang", "rank", "piece").limit(PER_LANGUAGE * LANGUAGES).collect()
+    sample = usable.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_LANGUAGE)
+    rows = sample.orderBy("nth", "lang").limit(SAMPLE_ROWS).collect()
+    rows.sort(key=lambda r: (r.lang, r.nth))
     return train([r.piece.encode() for r in rows], [r.lang for r in rows]) if rows else None
 
 

@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     threshold = num / den
     feats = materialize(features(docs, width, id_col, text_col), "features")
     named = feats.where("doc_id is not null and digest is not null")
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("v"))
+    # Written first, so that Spark can split the join at a set that very many documents share.
+    first = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("v")), "first")
     member = materialize(named.select("doc_id", "digest").join(first, "digest").select("doc_id", "v"), "members")
     of = member.distinct()  # an id with several sets stands for each of their vertices
     signatures = feats.where("digest is not null").select(F.col("doc_id").alias("v"), "signature", "n_shingles")

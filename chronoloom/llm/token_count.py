@@ -26,7 +26,7 @@ from chronoloom.llm.common import map_batches
 BLANK = "▁"
 #: How much worse than the worst piece an unknown character is (fixed value of the tokenizers library).
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts one Python worker remembers.
+#: Words whose counts one Python worker remembers, in two generations.
 CACHE_WORDS = 400_000
 
 
@@ -46,6 +46,7 @@ class Counter(dict):
         import ahocorasick
 
         super().__init__()
+        self.older: dict[str, int] = {}
         self.limit, self.known = limit, {p for p, _ in vocabulary}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.by_bytes = byte_fallback and all(f"<0x{b:02X}>" in self.known for b in range(256))
@@ -56,10 +57,13 @@ class Counter(dict):
         self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = self.count(word)
+        n = self.older.get(word)
+        if n is None:
+            n = self.count(word)
         if len(word) <= 64:
+            if len(self) >= self.limit // 2:  # words in use stay: what is asked for again moves on
+                self.older = dict(self)
+                self.clear()
             self[word] = n
         return n
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.llm import chat, queries, topk, urls
 
@@ -39,6 +40,20 @@ def test_chat_fold(spark):
     assert chat.digest(chat.render(chat.fold_events(df.limit(0)))).count() == 0
 
 
+def test_chat_stream_folds_to_its_turns(spark):
+    rnd = random.Random(11)
+    turns = [(c, t, rnd.choice(["user", "assistant", None]), "".join(rnd.choices("ab é<|\n", k=rnd.choice([0, 1, 255, 256, 257, 900])))) for c in range(12) for t in range(8)]
+    turns += [(1, 99, "user", None), (1, 99, "user", None), (1, 99, "user", "other"), (None, 0, "assistant", "x" * 300_000), (2, None, "user", "y" * 600)]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, seq int")
+    log = chat.as_stream(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = sorted((str(r.conv_id), str(r.turn), str(r.role), r.text) for r in chat.fold_events(log).collect())
+    assert got == sorted((str(c), str(t), str(r), x or "") for c, t, r, x in turns)
+    assert chat.as_stream(df.limit(0)).count() == 0
+    one = spark.range(20_000).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"))
+    assert [(r.n_turns, r.loss_chars) for r in chat.digest(chat.render(chat.fold_events(chat.as_stream(one)))).collect()] == [(20_000, 0)]
+
+
 PAGES = [
     (1, "http://A.example.com/en/1?x#f", '<link rel="canonical" href="/zz/1">'),
     (2, "http://a.example.com/zz/1", None),
@@ -96,8 +111,8 @@ def test_top_k(spark, monkeypatch, spread):
     bad = [(2000, None), (2001, [1.0, None]), (2002, [float("nan")]), (2003, [float("inf")])]
     df = spark.createDataFrame([(*r, 0) for r in rows + bad], "vec_id long, embedding array<double>, score int")
     whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
-    monkeypatch.setattr(topk, "BLOCK", 100)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    for name, value in (("CELL_BYTES", 1000), ("BLOCK_BYTES", 1500), ("QUERY_BYTES", 300), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, value)
     got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 10 = 0"), df, 7).collect())
     assert got == brute([r for r in whole if r[0] % 10 == 0], whole, 7)
 
@@ -110,6 +125,50 @@ def test_top_k_wide_ragged_and_empty(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def clusters(rng, many, each, width=16):
+    centers = rng.normal(size=(many, width))
+    centers /= np.sqrt((centers**2).sum(1))[:, None]
+    return np.floor(1024 * (np.repeat(centers, each, 0) + 0.01 * rng.normal(size=(many * each, width)))).astype(np.int64)
+
+
+def test_two_trees_score_few_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    points = clusters(rng, 40, 200)
+    ids, asked = np.arange(len(points)), np.arange(0, len(points), 20)
+    row, at, score, scored = topk.search(points[asked], asked, np.full(len(asked), -(2**63)), points, ids, 10)
+    assert scored < 0.15 * len(asked) * len(points)
+    all_ = points[asked] @ points.T
+    all_[np.arange(len(asked)), asked] = -(2**62)
+    for i in range(len(asked)):
+        assert sorted(score[row == i])[-10:] == np.sort(all_[i])[-10:].tolist()
+    # Spread evenly over 64 dimensions, nothing can be told from radii.
+    even = np.floor(1024 * rng.normal(size=(3000, 64)) / 8).astype(np.int64)
+    _, _, score, scored = topk.search(even[::100], ids[:3000:100], np.full(30, -(2**63)), even, ids[:3000], 10)
+    assert scored > 0.99 * 30 * 3000
+
+
+def test_cells_of_queries_visit_few_cells_of_clustered_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = clusters(rng, 30, 100)
+    for name, value in (("CELL_BYTES", 12800), ("BLOCK_BYTES", 6400), ("QUERY_BYTES", 2000)):
+        monkeypatch.setattr(topk, name, value)
+    went, told = topk.visits, []
+    monkeypatch.setattr(topk, "visits", lambda *a: told.append(went(*a)) or told[-1])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points.astype(float))], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 10 = 0"), df, 10, scale=1).collect())
+    whole = list(enumerate(points.tolist()))
+    assert got == brute([r for r in whole if r[0] % 10 == 0], whole, 10)
+    assert told[0].shape[0] == 30 and told[0].mean() < 0.2
+
+
+def test_top_k_of_vectors_shared_by_many_rows(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(i, [1.0, 2.0]) for i in (0, 0, 5)] + [(1000 + i, [float(i % 7), 1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(1024 * x) for x in v]) for i, v in rows]
+    got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 50 = 0"), df, 5).collect())
+    assert got == brute(sorted({(i, tuple(v)) for i, v in whole if i % 50 == 0}), whole, 5)
+
+
 def test_cover_tree_covers():
     rng = np.random.default_rng(2)
     points = rng.normal(size=(500, 4)) * rng.choice([0.01, 1], size=(500, 1))
