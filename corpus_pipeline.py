@@ -18,8 +18,8 @@ from chronoloom.llm import bpe, decontaminate, language, minhash, suffix
 from chronoloom.llm.common import held_out, materialize, read
 from chronoloom.llm.queries import tokenizer_path
 
-#: Below this score no language is likelier than the others together by much; real texts lie far above it.
-LEAST_SCORE = 0.3
+#: How far of the way from chance (one in so many languages as were learned) to certainty a score must be; real texts lie far above it.
+LEAST_MARGIN = 1 / 15
 #: Passages of so many words go if they repeat.
 REPEAT_WORDS = 51
 #: All texts are searched for repeats of so many bytes, those in which so many words can be shorter for shorter ones, too.
@@ -29,7 +29,8 @@ REPEAT_BYTES = 240
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents without a recognisable language go."""
     net = language.fit(docs, held_out(F.col("doc_id"), 4, 2))
-    return language.accepted(docs, net, LEAST_SCORE)
+    chance = 1 / len(net.languages) if net else 1.0
+    return language.accepted(docs, net, chance + (1 - chance) * LEAST_MARGIN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +50,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: passages of more than 50 words that repeat go from all texts; characters that a cut
     parts go with them. The documents themselves stay."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    left = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep=("row",), words=REPEAT_WORDS)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_no_text" + "_" * max(map(len, docs.columns)))).alias("row"))
+    found = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep=("row",), words=REPEAT_WORDS)
+    no_text = F.col("row").getField(rows.schema["row"].dataType.names[-1])
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(~no_text, F.col("left"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
