@@ -6,14 +6,17 @@ Python worker: its result is kept in a bounded cache that outlives Arrow batches
 and tasks. What a chunk's encoding says about its first and last few tokens may
 be wrong in another surrounding, so only the part between the chunk's first and
 last *certain* boundary is shared, and the text between two such parts is encoded
-once, too. Nothing is encoded again or compared at the joins: certain boundaries take
-the place of that. Text without them (scripts without blanks, long unbroken runs) has
-no parts to share and is encoded anew in each document.
+once, too: that is the window around a join, which grows over further chunks until it
+has a certain boundary at either end. There both sides' ids agree by the pre-tokenizer's
+rules, so nothing needs to be encoded twice to compare them. Text without certain
+boundaries (long unbroken runs) has no parts to share and is encoded anew in each document.
 
 A boundary is certain at a single space that stands between two visible ASCII
 characters: no alternative of the pre-tokenizer's pattern matches a space after
-another character, so a pre-token starts there whatever stands around it, and no
-special token holds a space.
+another character, so a pre-token starts there whatever stands around it. The same holds
+at an ideographic comma or full stop and the wide forms of ``, ! ?`` behind a Han or
+Hiragana letter: no alternative matches letters and punctuation together. No special
+token holds a space or such a character.
 
 The work is narrow: no shuffle, memory bounded by one Arrow batch and the cache.
 """
@@ -56,6 +59,8 @@ def _load(path: str):
         spec = json.load(f)
     if spec["model"]["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
         raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+    if any(" " in t["content"] or not t["content"].isascii() for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: a special token may cross a certain boundary")
     alphabet = _byte_alphabet()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -94,6 +99,23 @@ def _cache(path: str) -> _Cache:
     return _Cache(_load(path)[0], CACHE_BYTES)
 
 
+#: Three bytes of each: ideographic comma and full stop, wide comma, exclamation and question mark.
+_STOPS = np.array([int.from_bytes(c.encode(), "big") for c in "、。，！？"])
+
+
+def certain(b: np.ndarray) -> np.ndarray:
+    """The certain boundaries in a text, judged by three bytes on either side."""
+    visible = (b > 0x20) & (b < 0x7F)
+    at = np.flatnonzero((b[1:-1] == 0x20) & visible[:-2] & visible[2:]) + 1
+    wide = np.flatnonzero((b[3:-2] == 0xE3) | (b[3:-2] == 0xEF)) + 3
+    if not len(wide):
+        return at
+    code = (b[wide].astype(int) << 16) | (b[wide + 1].astype(int) << 8) | b[wide + 2]
+    lead = b[wide - 3]
+    letter = ((lead >= 0xE5) & (lead <= 0xE8)) | ((lead == 0xE3) & (b[wide - 2] == 0x81) & (b[wide - 1] > 0x80))
+    return np.union1d(at, wide[letter & np.isin(code, _STOPS)])
+
+
 def pieces(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Positions at which to part the documents of ``data``.
 
@@ -107,12 +129,11 @@ def pieces(data: bytes, starts: np.ndarray) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     window = np.ndarray((n - 7,), "<u8", data, strides=(1,))
     cut = np.flatnonzero((window * _MIX) >> np.uint64(64 - CUT_BITS) == 0) + 8
-    visible = (b > 0x20) & (b < 0x7F)
-    safe = np.flatnonzero((b[1:-1] == 0x20) & visible[:-2] & visible[2:]) + 1
+    safe = certain(b)
     edges = np.union1d(cut[cut < n], starts)
     # Of each chunk, the boundaries that its own bytes make certain.
-    lo = np.searchsorted(safe, edges[:-1] + 1)
-    hi = np.searchsorted(safe, edges[1:] - 1) - 1
+    lo = np.searchsorted(safe, edges[:-1] + 3)
+    hi = np.searchsorted(safe, edges[1:] - 3, side="right") - 1
     some = hi >= lo
     if not some.any():
         return starts

@@ -55,6 +55,19 @@ def test_chunks_are_shared_and_joins_repaired():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [lib.encode(t.decode(), add_special_tokens=False).ids for t in texts]
 
 
+def test_passages_without_blanks_are_shared():
+    rnd = random.Random(2)
+    part = lambda: "".join(chr(rnd.choice([rnd.randint(0x5000, 0x8FFF), rnd.randint(0x3041, 0x307F)])) for _ in range(rnd.randint(3, 20)))
+    passage = "".join(part() + rnd.choice("、。，！？") for _ in range(600))
+    texts = [(part() + passage + part() + "。龠。x、ー、 。").encode() for _ in range(4)]
+    cache = bpe._cache(PATH)
+    cache.clear()
+    ids, at = bpe.encode_texts(texts, PATH)
+    assert sum(map(len, cache)) < 2 * len(texts[0])
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [lib.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
 def unigram(vocabulary, byte_fallback):
     lib = tokenizers.Tokenizer(tokenizers.models.Unigram(list(vocabulary), 0, byte_fallback=byte_fallback))
     lib.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
