@@ -19,10 +19,11 @@ def canonical(name: str) -> str:
 
 def aggregate(name: str, v: Column, order: Column) -> Column:
     """Nulls are skipped; all null gives null, but count gives 0. ``first``, ``last``
-    and ``diff`` (first less the others) go by ``order``."""
+    and ``diff`` (first less the others) go by ``order``. What has no value, as the sum of
+    both infinities, is null, never NaN."""
     present = F.when(v.isNotNull(), order)
     first = F.min_by(v, present)
-    return {
+    found = {
         "average": lambda: F.avg(v),
         "count": lambda: F.count(v).cast("double"),
         "diff": lambda: 2 * first - F.sum(v),
@@ -36,3 +37,4 @@ def aggregate(name: str, v: Column, order: Column) -> Column:
         "stddev": lambda: F.stddev_pop(v),
         "sum": lambda: F.sum(v),
     }[canonical(name)]()
+    return F.when(~F.isnan(found), found)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.aggregators import aggregate, canonical
 from chronoloom.operators.leaf import as_expr, group, union
-from chronoloom.operators.series import LONGEST_NAME, Expr, Request, SeriesSet, Store
+from chronoloom.operators.series import LONGEST_NAME, Expr, Request, SeriesSet, Store, finite
 
 
 def _name(function: str, target: str) -> str:
@@ -98,7 +98,7 @@ def diffSeries(*queries: str | Expr) -> Expr:
         mine = F.col("arg") == 0
         slots = rows.groupBy("step", "t").agg(F.sum(F.when(mine, F.col("v"))).alias("a"), F.count(F.when(mine, F.col("v"))).alias("n"), F.coalesce(F.sum(F.when(~mine, F.col("v"))), F.lit(0.0)).alias("b"))
         whole = s.heads.groupBy("step").agg(F.count(F.when(mine, F.col("skey"))).alias("all"))
-        v = F.col("a") - F.col("b")
+        v = finite(F.col("a") - F.col("b"))
         found = slots.join(whole, "step").where("n = all and n > 0").select(F.lit("0").alias("skey"), "step", "t", v.alias("v"))
         return SeriesSet(_head(s.heads, _name("diffSeries", target), target), found)
 

@@ -20,7 +20,7 @@ def _map(function: str, q: str | Expr, value: Column, on_nulls: bool = False) ->
     def build(store: Store, req: Request) -> SeriesSet:
         s = arg.build(store, req)
         s = dense(s) if on_nulls else s
-        out = s.values(value).renamed(derived(function))
+        out = s.values(finite(value)).renamed(derived(function))
         return out if out.full else replace(out, samples=out.samples.where("v is not null"))
 
     return Expr(build, arg.target, arg.method)
@@ -59,7 +59,7 @@ def offset(q: str | Expr, factor: float) -> Expr:
 
 
 def pow(q: str | Expr, factor: float) -> Expr:
-    return _map("pow", q, finite(F.pow("v", F.lit(float(factor)))))
+    return _map("pow", q, F.pow("v", F.lit(float(factor))))
 
 
 def removeAboveValue(q: str | Expr, n: float) -> Expr:

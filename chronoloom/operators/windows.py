@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.times import align, duration
 from chronoloom.operators.leaf import as_expr
-from chronoloom.operators.series import Expr, Request, SeriesSet, Store, by_series, dense, derived
+from chronoloom.operators.series import Expr, Request, SeriesSet, Store, by_series, dense, derived, finite
 
-#: Windows of more slots than this are taken as differences of running sums.
-LONG_WINDOW = 200
+#: Windows of more slots than this are added up by blocks.
+SHORT_WINDOW = 64
 
 
 def _over(function: str, q: str | Expr, value: Column, slots: int) -> Expr:
@@ -22,7 +22,7 @@ def _over(function: str, q: str | Expr, value: Column, slots: int) -> Expr:
 
     def build(store: Store, req: Request) -> SeriesSet:
         s = dense(arg.build(store, req.before(slots)))
-        return s.values(value).renamed(derived(function))
+        return s.values(finite(value)).renamed(derived(function))
 
     return Expr(build, arg.target, arg.method)
 
@@ -64,7 +64,12 @@ def keepLastValue(q: str | Expr, limit: int = 0) -> Expr:
 def movingAverage(q: str | Expr, window: int | str, xFilesFactor: float | None = None) -> Expr:
     """Sum of the values in the last slots over the number of slots; missing if all
     are. ``window`` counts slots, or is a duration of which the slots are one more
-    than it holds whole. ``xFilesFactor`` has no effect."""
+    than it holds whole. ``xFilesFactor`` has no effect.
+
+    Short windows are frames. A frame is added up anew for each slot, so for long ones
+    slots are parted into blocks as long as the window: a window is the end of one block and
+    the start of the next, two running sums that nothing is subtracted from.
+    """
     arg = as_expr(q)
     text = str(window).strip()
     slots = int(float(text)) if text.replace(".", "", 1).isdigit() else None
@@ -72,20 +77,31 @@ def movingAverage(q: str | Expr, window: int | str, xFilesFactor: float | None =
 
     def build(store: Store, req: Request) -> SeriesSet:
         s = dense(arg.build(store, req.before(max(slots - 1, 0)) if slots is not None else req.before(seconds=seconds)))
+        s = s.renamed(derived("movingAverage"))
+        if slots == 0:
+            return s.values(F.lit(None).cast("double"))
         size = F.lit(slots).cast("long") if slots is not None else F.floor(F.lit(seconds) / F.col("step")).cast("long") + 1
-        running = by_series().rowsBetween(W.unboundedPreceding, W.currentRow)
-        if slots is not None and slots <= LONG_WINDOW:
-            frame = by_series().rowsBetween(-max(slots - 1, 0), 0)
-            value = F.sum("v").over(frame) / size if slots else F.lit(None).cast("double")
-            return s.values(value).renamed(derived("movingAverage"))
-        if slots is None:
-            # Slots per duration differ by step: a range frame over slot numbers in seconds.
-            frame = by_series().rangeBetween(-seconds, 0)
-            return s.values(F.sum("v").over(frame) / size).renamed(derived("movingAverage"))
-        sums = s.samples.withColumns({"_s": F.sum("v").over(running), "_n": F.count("v").over(running)})
-        past = lambda c: F.coalesce(F.lag(c, slots).over(by_series()), F.lit(0))
-        value = F.when(F.col("_n") > past("_n"), (F.col("_s") - past("_s")) / size)
-        return replace(s, samples=sums.withColumn("v", value).drop("_s", "_n")).renamed(derived("movingAverage"))
+        if slots is not None and slots <= SHORT_WINDOW:
+            return s.values(finite(F.sum("v").over(by_series().rowsBetween(1 - slots, 0)) / size))
+        block = W.partitionBy("skey", "_block")
+        upto, since = block.orderBy("t"), block.orderBy(F.desc("t"))
+        rows = s.samples.withColumns({"_size": size, "_block": F.floor(F.col("t") / (F.col("step") * size))})
+        rows = rows.withColumn("_upto", F.sum("v").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+        rows = rows.withColumn("_since", F.sum("v").over(since.rowsBetween(W.unboundedPreceding, 0)))
+        if slots is not None:
+            start = F.lag(F.struct("_since", "_block"), slots - 1).over(by_series())
+        else:
+            # The first slot of the window: steps differ, and none is longer than the store's longest.
+            near = by_series().rangeBetween(-seconds, min(0, store.longest_step - 1 - seconds))
+            start = F.first(F.struct("_since", "_block")).over(near)
+            first = F.min("t").over(W.partitionBy("skey"))
+            start = F.when(F.col("t") - (F.col("_size") - 1) * F.col("step") >= first, start)
+        rows = rows.withColumn("_start", start)
+        # At a block's end the window is the block; before the first whole window there is no block before.
+        earlier = F.when(F.col("_start._block") < F.col("_block"), F.col("_start._since"))
+        both = F.when(F.col("_upto").isNull(), earlier).when(earlier.isNull(), F.col("_upto")).otherwise(F.col("_upto") + earlier)
+        part = F.when(F.col("_start").isNotNull(), both).otherwise(F.sum("v").over(by_series().rowsBetween(W.unboundedPreceding, 0)))
+        return replace(s, samples=rows.withColumn("v", finite(part / F.col("_size"))).drop("_size", "_block", "_upto", "_since", "_start"))
 
     return Expr(build, arg.target, arg.method)
 

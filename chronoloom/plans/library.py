@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,14 @@ FUNCTIONS: dict[str, Function] = {f.name: f for f in _table()}
 FUNCTIONS |= {a: f for f in list(FUNCTIONS.values()) for a in f.aliases}
 
 
+def register(name: str, group: str, call: Callable, *args: Arg, aliases: tuple[str, ...] = ()) -> None:
+    """Adds a function of one's own, which takes paths or expressions and gives an ``Expr``."""
+    taken = {name, *aliases} & FUNCTIONS.keys()
+    if taken:
+        raise ValueError(f"there is a function {', '.join(sorted(taken))}")
+    FUNCTIONS.update(dict.fromkeys((name, *aliases), Function(name, group, call, args, aliases)))
+
+
 def call(name: str, *args):
     """The function of that name or alias, applied."""
     return FUNCTIONS[name].call(*args)

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import aggregators
-from chronoloom.operators.series import Expr, Store
+from chronoloom.operators.filters import judged
+from chronoloom.operators.series import Expr, Request, Store
 from chronoloom.plans import views
 from chronoloom.plans.library import call, path
 from chronoloom.plans.render import as_json, as_records, render
 from chronoloom.sources import carbon, catalog, dump
+from chronoloom.sources.store import erase, reconfigure
 from chronoloom.streaming import ingest
 
 #: All 30 days of the events, hour by hour.
@@ -107,22 +109,40 @@ def _kept(test: str) -> str:
     return _sql(f"SELECT g.name, t, v FROM g WHERE name IN (SELECT name FROM g GROUP BY name HAVING {test})")
 
 
+#: Thresholds are the aggregate of the series that comes so many-th from below: some series stay, some go, one is equal.
+NTH = 5
+
+
+def _threshold(spark: SparkSession, sf_dir: str, agg: str) -> float:
+    s = path(EV).build(views.events(spark, sf_dir), Request(FIRST, LAST))
+    return judged(s, agg).select("_a").orderBy("_a").limit(NTH).agg(F.max("_a")).first()[0]
+
+
+def _nth(agg: str) -> str:
+    return f"(SELECT max(a) FROM (SELECT {_agg(agg)} AS a FROM g GROUP BY name ORDER BY a LIMIT {NTH}))"
+
+
+def _filter(make: Callable[[float], Expr], agg: str, op: str) -> tuple[Query, str]:
+    query = lambda spark, sf_dir: _series(lambda: make(_threshold(spark, sf_dir, agg)))(spark, sf_dir)
+    return query, _kept(f"{_agg(agg)} {op} {_nth(agg)}")
+
+
 def _filters() -> dict[str, tuple[Query, str]]:
     out = {}
-    for fn, agg, op, n in (
-        ("averageAbove", "average", ">", 9000),
-        ("averageBelow", "average", "<", 9000),
-        ("currentAbove", "last", ">", 5000),
-        ("currentBelow", "last", "<", 5000),
-        ("maximumAbove", "max", ">", 40000),
-        ("maximumBelow", "max", "<", 40000),
-        ("minimumAbove", "min", ">", 100),
-        ("minimumBelow", "min", "<", 100),
+    for fn, agg, op in (
+        ("averageAbove", "average", ">"),
+        ("averageBelow", "average", "<"),
+        ("currentAbove", "last", ">"),
+        ("currentBelow", "last", "<"),
+        ("maximumAbove", "max", ">"),
+        ("maximumBelow", "max", "<"),
+        ("minimumAbove", "min", ">"),
+        ("minimumBelow", "min", "<"),
     ):
-        out[f"fn_{fn}"] = (_series(lambda fn=fn, n=n: call(fn, EV, n)), _kept(f"{_agg(agg)} {op} {n}"))
-    out["fn_filterSeries"] = (_series(lambda: call("filterSeries", EV, "median", ">=", 7000)), _kept(f"{_agg('median')} >= 7000"))
+        out[f"fn_{fn}"] = _filter(lambda n, fn=fn: call(fn, EV, n), agg, op)
+    out["fn_filterSeries"] = _filter(lambda n: call("filterSeries", EV, "median", ">=", n), "median", ">=")
     for word, op in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")):
-        out[f"op_{word}"] = (_series(lambda word=word: call("filterSeries", EV, "count", word, 360)), _kept(f"count(v) {op} 360"))
+        out[f"op_{word}"] = _filter(lambda n, word=word: call("filterSeries", EV, "sum", word, n), "sum", op)
     for fn, args, agg, way in (
         ("highest", (3,), "average", "DESC"),
         ("highestAverage", (4,), "average", "DESC"),
@@ -151,6 +171,7 @@ def _windows() -> dict[str, tuple[Query, str]]:
         "fn_keepLastValue": (_series(lambda: call("keepLastValue", EV, 3)), _sql(fill, 1)),
         "fn_movingAverage": (_series(lambda: call("movingAverage", EV, 24)), _sql(over("movingAverage", moving(24)), 23)),
         "movingAverage_duration": (_series(lambda: call("movingAverage", EV, "1d")), _sql(over("movingAverage", moving(25)), 24)),
+        "movingAverage_days": (_series(lambda: call("movingAverage", EV, "9d")), _sql(over("movingAverage", moving(217)), 216)),
         "movingAverage_long": (_series(lambda: call("movingAverage", EV, 300)), _sql(over("movingAverage", moving(300)), 299)),
         "fn_timeShift": (_series(lambda: call("timeShift", EV, "1d")), _sql("SELECT 'timeShift(' || name || ')' AS name, t + 86400 AS t, v FROM g WHERE t + 86400 < " + str(LAST + 1), 24)),
     }
@@ -198,7 +219,14 @@ def _nested() -> dict[str, tuple[Query, str]]:
     day = "SELECT 'diffSeries(ev.click.s0)' AS name, a.t, a.v - coalesce(b.v, 0) AS v FROM g a LEFT JOIN g b ON a.name = b.name AND a.t = b.t + 86400 WHERE a.name = 'ev.click.s0'"
     step = "SELECT name, t, v - lag(v) OVER (PARTITION BY name ORDER BY t) AS v FROM g"
     both = f"SELECT 'derivative(' || name || ')' AS name, t, v FROM ({step}) UNION ALL SELECT 'derivative(timeShift(' || name || '))' AS name, t + 86400 AS t, v FROM ({step}) WHERE t + 86400 < {LAST + 1}"
+    infinite = "SELECT name, sid, t, CASE WHEN v > 0 THEN CAST('inf' AS DOUBLE) WHEN v = 0 THEN 0 END AS v FROM g"
+    minus = f"SELECT name, t, CASE WHEN isinf(v) AND isinf(p) THEN NULL ELSE v - p END AS v FROM (SELECT name, t, v, lag(v) OVER (PARTITION BY name ORDER BY t) AS p FROM ({infinite}))"
+    ups = f"SELECT t, count(v) AS n, count(v) FILTER (isinf(v)) AS k FROM ({infinite}) GROUP BY t"
     return {
+        "nested_infinite_derivative": (_series(lambda: call("derivative", call("drawAsInfinite", EV))), _sql(f"SELECT 'derivative(drawAsInfinite(' || name || '))' AS name, t, v FROM ({minus})", 1)),
+        "nested_infinite_scale": (_series(lambda: call("scale", call("drawAsInfinite", EV), 0)), _sql(f"SELECT 'scale(drawAsInfinite(' || name || '))' AS name, t, CASE WHEN isinf(v) THEN NULL ELSE v * 0 END AS v FROM ({infinite})")),
+        "nested_infinite_range": (_series(lambda: call("rangeSeries", call("drawAsInfinite", EV))), _sql(f"SELECT 'rangeSeries({EV})' AS name, t, CASE WHEN n = 0 OR k = n THEN NULL WHEN k > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS v FROM ({ups})")),
+        "nested_infinite_moving": (_series(lambda: call("movingAverage", call("drawAsInfinite", EV), 100)), _sql(f"SELECT 'movingAverage(drawAsInfinite(' || name || '))' AS name, t, sum(v) OVER (PARTITION BY name ORDER BY t ROWS 99 PRECEDING) / 100 AS v FROM ({infinite})", 99)),
         "nested_top_of_moving": (_series(lambda: call("highestMax", call("movingAverage", EV, 6), 3)), _sql(f"SELECT 'movingAverage(' || name || ')' AS name, t, sum(v) OVER (PARTITION BY name ORDER BY t ROWS 5 PRECEDING) / 6 AS v FROM g WHERE name IN ({best})", 5)),
         "nested_sum_counts_twice": (_series(lambda: call("sum", EV, "ev.click.s0")), _sql(twice)),
         "nested_day_before": (_series(lambda: call("diffSeries", "ev.click.s0", call("timeShift", "ev.click.s0", "1d"))), _sql(day, 24)),
@@ -213,7 +241,7 @@ _BRANCHES = "branches AS (SELECT DISTINCT array_to_string(list_slice(s, 1, k), '
 def _finds() -> dict[str, tuple[Query, str]]:
     out: dict[str, tuple[Query, str]] = {}
     for key, pattern, test in (
-        ("exact", "part.Brand_2.economy.p5", "name = 'part.Brand_2.economy.p5'"),
+        ("inside", "part.Brand_*2.*m*l*.p*1*", "regexp_matches(name, '^part\\.Brand_[^.]*2\\.[^.]*m[^.]*l[^.]*\\.p[^.]*1[^.]*$')"),
         ("star", "part.*.small.*", "regexp_matches(name, '^part\\.[^.]*\\.small\\.[^.]*$')"),
         ("doublestar", "**.small.**", "regexp_matches(name, '\\.small\\.')"),
         ("charclass", "part.Brand_[1-3].*.p*[05]", "regexp_matches(name, '^part\\.Brand_[1-3]\\.[^.]*\\.p[^.]*[05]$')"),
@@ -221,6 +249,9 @@ def _finds() -> dict[str, tuple[Query, str]]:
         ("all", "**", "true"),
     ):
         out[f"find_{key}"] = (lambda spark, sf_dir, pattern=pattern: catalog.find(views.part_names(spark, sf_dir), pattern), f"WITH {_PARTS} SELECT id, name FROM names WHERE {test}")
+    first = lambda df: df.orderBy("id").select("name").first()["name"]
+    out["find_exact"] = (lambda spark, sf_dir: (lambda names: catalog.find(names, first(names)))(views.part_names(spark, sf_dir)), f"WITH {_PARTS} SELECT id, name FROM names WHERE name = (SELECT name FROM names ORDER BY id LIMIT 1)")
+    out["metrics_find_leaves"] = (lambda spark, sf_dir: catalog.browse_paths(views.part_names(spark, sf_dir), "part.*.s*"), f"WITH {_PARTS}, {_BRANCHES}, hits AS (SELECT name AS path, false AS is_leaf FROM branches UNION ALL SELECT name, true FROM names) SELECT path, is_leaf FROM hits WHERE regexp_matches(path, '^part\\.[^.]*\\.s[^.]*$')")
     out["find_branches"] = (lambda spark, sf_dir: catalog.find_branches(views.part_names(spark, sf_dir), "part.*.*"), f"WITH {_PARTS}, {_BRANCHES} SELECT name FROM branches WHERE regexp_matches(name, '^part\\.[^.]*\\.[^.]*$')")
     browse = f"WITH {_PARTS}, {_BRANCHES}, hits AS (SELECT name AS path, true AS expandable FROM branches UNION ALL SELECT name, false FROM names) SELECT path, string_split(path, '.')[-1] AS text, expandable FROM hits WHERE regexp_matches(path, '^part\\.[^.]*\\.[^.]*$')"
     out["metrics_find"] = (lambda spark, sf_dir: catalog.browse(views.part_names(spark, sf_dir), "part.*.*"), browse)
@@ -254,6 +285,38 @@ def _stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.samples.join(store.catalog.select("id", "name"), "id").select("name", "t", "v")
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The writes with even numbers, and all of them: what comes twice stays the same."""
+    lines = views.event_lines(spark, sf_dir)
+    return lines.where("seq % 2 = 0"), lines
+
+
+#: The same in SQL: the store after the first half, and each slot's last write in the second batch.
+_TWICE = f"""{_STORED}, first_latest AS (SELECT name, max(t) AS last_t FROM slotted WHERE seq % 2 = 0 GROUP BY name),
+first_stored AS (
+  SELECT s.name, s.t, arg_max(s.v, s.seq) AS v FROM slotted s JOIN first_latest l ON s.name = l.name WHERE seq % 2 = 0 AND s.t > l.last_t - s.retention GROUP BY s.name, s.t
+), again AS (
+  SELECT s.name, s.t, arg_max(s.v, s.seq) AS v, any_value(s.t <= l.last_t - l.retention) AS old FROM slotted s JOIN latest l ON s.name = l.name GROUP BY s.name, s.t
+)"""
+
+
+def _filled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, again = _halves(spark, sf_dir)
+    store = ingest.merge(ingest.merge(_empty(spark), first, RULES, LAST), again.where("seq % 2 = 1"), RULES, LAST)
+    return store.samples.join(store.catalog.select("id", "name"), "id").select("name", "t", "v")
+
+
+def _filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, again = _halves(spark, sf_dir)
+    return ingest.counts(ingest.merge(_empty(spark), first, RULES, LAST), again, RULES, LAST)
+
+
+def _long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.event_lines(spark, sf_dir).withColumn("name", F.concat("name", F.lit("."), F.repeat(F.lit("x"), 120)))
+    store = ingest.merge(_empty(spark), lines, RULES, LAST)
+    return store.samples.groupBy("id").agg(F.count("*").alias("n")).join(store.catalog, "id").select("name", "n")
+
+
 def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _ingested(spark, sf_dir)
     n = store.samples.groupBy("id").agg(F.count("*").alias("n"), F.min("t").alias("oldest"))
@@ -266,6 +329,15 @@ def _ingest() -> dict[str, tuple[Query, str]]:
         "ingest_last_write_wins": (_stored_rows, f"WITH {_STORED} SELECT name, t, v FROM stored"),
         "ingest_retention": (_retention, f"WITH {_STORED} SELECT s.name, CASE WHEN any_value(l.retention) = 604800 THEN 'float64' ELSE 'int32' END AS type, CAST(any_value(l.retention) AS BIGINT) AS retention, CAST(CASE WHEN any_value(l.retention) = 604800 THEN 3600 ELSE 60 END AS BIGINT) AS step, any_value(l.last_t) AS last_t, min(s.t) AS oldest, count(*) AS n FROM stored s JOIN latest l ON s.name = l.name GROUP BY s.name"),
         "ingest_counts": (lambda spark, sf_dir: ingest.counts(_empty(spark), lines(spark, sf_dir), RULES, LAST), f"WITH {_STORED}, a AS (SELECT count(*) AS n FROM stored), b AS (SELECT count(*) AS n FROM (SELECT DISTINCT name, t FROM slotted)) SELECT CAST(a.n AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS same, CAST(b.n - a.n AS BIGINT) AS old FROM a, b"),
+        "ingest_merge": (_filled_rows, f"WITH {_STORED}, b AS (SELECT s.name, s.t, arg_max(s.v, s.seq % 2 * 1000000000000 + s.seq) AS v FROM slotted s JOIN latest l ON s.name = l.name WHERE s.t > l.last_t - l.retention GROUP BY s.name, s.t) SELECT name, t, v FROM b"),
+        "ingest_counts_filled": (
+            _filled_counts,
+            f"WITH {_TWICE} SELECT CAST(count(*) FILTER (NOT old AND f.v IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (NOT old AND f.v <> a.v) AS BIGINT) AS changed, CAST(count(*) FILTER (NOT old AND f.v = a.v) AS BIGINT) AS same, CAST(count(*) FILTER (old) AS BIGINT) AS old FROM again a LEFT JOIN first_stored f ON a.name = f.name AND a.t = f.t",
+        ),
+        "ingest_long_names": (
+            _long_names,
+            f"WITH {_STORED}, c AS (SELECT substr(name || '.' || repeat('x', 120), 1, 127) AS name, t FROM stored) SELECT name, count(*) AS n FROM c GROUP BY name",
+        ),
         "ingest_rules": (
             lambda spark, sf_dir: lines(spark, sf_dir).select("name").distinct().withColumn("s", catalog.settings(F.col("name"), RULES)).where("s is not null").select("name", "s.type", "s.retention", "s.step"),
             f"WITH {_WRITES} SELECT DISTINCT name, CASE WHEN kind IN ('click', 'view') THEN 'float64' ELSE 'int32' END AS type, CAST(CASE WHEN kind IN ('click', 'view') THEN 604800 ELSE 2592000 END AS BIGINT) AS retention, CAST(CASE WHEN kind IN ('click', 'view') THEN 3600 ELSE 60 END AS BIGINT) AS step FROM w WHERE kind <> 'error'",
@@ -309,10 +381,29 @@ def _dumps() -> dict[str, tuple[Query, str]]:
         r = as_records(views.lineitem(spark, sf_dir), ["li.R.*", "li.*.*"], LI_FIRST, LI_LAST)
         return r.select("name", "pathExpression", "start", "end", "step", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total"))
 
+    def erased(spark, sf_dir):
+        s = views.lineitem(spark, sf_dir)
+        left = erase(s, catalog.find(s.catalog, "li.R.*").select("id"))
+        return left.samples.join(left.catalog.select("id", "name"), "id").select("name", "t", "v")
+
+    def reconfigured(spark, sf_dir):
+        s = views.lineitem(spark, sf_dir)
+        s = Store(s.catalog.withColumn("retention", F.lit(86400 * 365).cast("long")), s.samples)
+        ids = catalog.find(s.catalog, "li.*.F").select("id")
+        change = ids.select("id", F.lit("float64").alias("type"), F.lit(86400 * 365).cast("long").alias("retention"), F.when(F.col("id") % 2 == 0, 3600).otherwise(86400).cast("long").alias("step"))
+        s = reconfigure(s, change)
+        n = s.samples.groupBy("id").agg(F.count("*").alias("n"))
+        return s.catalog.join(n, "id", "left").select("name", "step", "retention", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
     dense = f"WITH {_DAYS}, slots AS (SELECT unnest(range({LI_FIRST}, {LI_LAST + 1}, 86400)) AS t), g AS (SELECT n.name, s.t, d.v FROM (SELECT DISTINCT name FROM d) n CROSS JOIN slots s LEFT JOIN d ON d.name = n.name AND d.t = s.t)"
     return {
         "dump": (records, f"WITH {_DAYS} SELECT name, 'float64' AS type, CAST(86400 AS BIGINT) AS interval, min(t) AS first, CAST((max(t) - min(t)) // 86400 + 1 AS INTEGER) AS n, sum(v) AS total FROM d GROUP BY name"),
         "load": (loaded, f"WITH {_DAYS} SELECT name, t, v FROM d"),
+        "erase": (erased, f"WITH {_DAYS} SELECT name, t, v FROM d WHERE name NOT LIKE 'li.R.%'"),
+        "reconfigure": (
+            reconfigured,
+            f"WITH {_DAYS}, n AS (SELECT name, count(*) AS n, row_number() OVER (ORDER BY name) % 2 = 0 AND name LIKE '%.F' AS anew FROM d GROUP BY name) SELECT name, CAST(CASE WHEN anew THEN 3600 ELSE 86400 END AS BIGINT) AS step, CAST(31536000 AS BIGINT) AS retention, CAST(CASE WHEN anew THEN 0 ELSE n END AS BIGINT) AS n FROM n",
+        ),
         "render_json": (json_lines, f"{dense}, s AS (SELECT 0 AS pos, name, t, v FROM g WHERE name LIKE 'li.R.%' UNION ALL SELECT 1, 'sumSeries(li.*.*)', t, sum(v) FROM g GROUP BY t) SELECT CAST(pos AS INTEGER) AS pos, '{{\"target\":\"' || name || '\",\"datapoints\":[' || string_agg('[' || coalesce(CAST(v AS VARCHAR), 'null') || ',' || CAST(t AS VARCHAR) || ']', ',' ORDER BY t) || ']}}' AS json FROM s GROUP BY pos, name"),
         "render_records": (record_rows, f"{dense} SELECT name, CASE WHEN name LIKE 'li.R.%' THEN 'li.R.*' ELSE 'li.*.*' END AS pathExpression, CAST(min(t) AS BIGINT) AS start, CAST(max(t) + 86400 AS BIGINT) AS \"end\", CAST(86400 AS BIGINT) AS step, CAST(count(*) AS INTEGER) AS n, coalesce(sum(v), 0) AS total FROM g GROUP BY name"),
         "catalog_summary": (lambda spark, sf_dir: (lambda s: catalog.summary(s.catalog, s.samples))(views.lineitem(spark, sf_dir)), f"WITH {_DAYS} SELECT 'float64' AS type, count(DISTINCT name) AS series, count(*) AS samples FROM d"),

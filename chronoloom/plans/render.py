@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.times import request_time
 from chronoloom.operators.leaf import as_expr
 from chronoloom.operators.naming import consolidate
-from chronoloom.operators.series import Expr, Request, SeriesSet, Store, dense, within
+from chronoloom.operators.series import Expr, Request, SeriesSet, Store, dense, finite, within
 
 #: What infinity is written as (fixed value).
 LARGEST = 1.7976931348623157e308
@@ -44,7 +44,7 @@ def render(store: Store, targets: list[str | Expr], first: int | str | None = No
 def as_json(rendered: DataFrame) -> DataFrame:
     """``(pos, place, json)``: a line ``{"target": name, "datapoints": [[v, t], ...]}``
     per series, in series order; infinities are written as the largest numbers."""
-    v = F.when(F.col("v") == float("inf"), F.lit(LARGEST)).when(F.col("v") == float("-inf"), F.lit(-LARGEST)).otherwise(F.col("v"))
+    v = F.when(F.col("v") == float("inf"), F.lit(LARGEST)).when(F.col("v") == float("-inf"), F.lit(-LARGEST)).otherwise(finite(F.col("v")))
     points = F.sort_array(F.collect_list(F.struct("t", v.alias("v"))))
     series = rendered.groupBy("pos", "arg", "sid", "skey", "name").agg(points.alias("p"))
     pair = lambda p: F.concat(F.lit("["), F.coalesce(p["v"].cast("string"), F.lit("null")), F.lit(","), p["t"].cast("string"), F.lit("]"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.globs import matches
@@ -29,6 +30,15 @@ def n_segs(name: Column) -> Column:
     return F.size(F.split(name, r"\."))
 
 
+def with_ids(rows: DataFrame) -> DataFrame:
+    """Rows with a ``name`` each; those whose ``id`` is null get a hash of the name, so any
+    task, and a replayed batch, gives the same. Where names would share an id, all but
+    the one that has it already, or else the first in order, get another hash."""
+    hashed = rows.withColumn("_id", F.coalesce("id", F.xxhash64("name")))
+    twin = F.row_number().over(W.partitionBy("_id").orderBy(F.col("id").isNull(), "name")) > 1
+    return hashed.withColumn("_twin", twin).withColumn("id", F.when(F.col("id").isNull() & F.col("_twin"), F.xxhash64("name", F.lit("again"))).otherwise(F.col("_id"))).drop("_id", "_twin")
+
+
 def find(catalog: DataFrame, pattern: str) -> DataFrame:
     """``(id, name)`` of the series that fit."""
     return catalog.where(matches(pattern, F.col("name"), F.col("n_segs"))).select("id", "name")
@@ -43,7 +53,12 @@ def branches(catalog: DataFrame) -> DataFrame:
 
 
 def find_branches(catalog: DataFrame, pattern: str) -> DataFrame:
-    """The branches that fit, prefixes cut to the pattern's depth before they are made distinct."""
+    """The branches that fit. Without ``**`` they all have the pattern's depth, so each
+    name has one prefix to look at."""
+    if "**" not in pattern:
+        depth = pattern.count(".") + 1
+        cut = catalog.where(F.col("n_segs") > depth).select(F.substring_index("name", ".", depth).alias("name"), F.lit(depth).alias("n_segs"))
+        return cut.where(matches(pattern, F.col("name"), F.col("n_segs"))).select("name").distinct()
     return branches(catalog).where(matches(pattern, F.col("name"), F.col("n_segs"))).select("name")
 
 
@@ -54,6 +69,11 @@ def browse(catalog: DataFrame, pattern: str) -> DataFrame:
     return found.unionByName(leaves).select("path", F.substring_index("path", ".", -1).alias("text"), "expandable")
 
 
+def browse_paths(catalog: DataFrame, pattern: str) -> DataFrame:
+    """The same as ``(path, is_leaf)``."""
+    return browse(catalog, pattern).select("path", (~F.col("expandable")).alias("is_leaf"))
+
+
 def index(catalog: DataFrame) -> DataFrame:
     """All names in order."""
     return catalog.select("name").orderBy("name")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators.series import Store
-from chronoloom.sources.catalog import find, n_segs
+from chronoloom.sources.catalog import find, n_segs, with_ids
 
 VERSION = "2018.1"
 RECORD = "name string, type string, creation long, retention long, interval long, first long, samples array<double>"
@@ -19,11 +19,13 @@ def dump(store: Store, pattern: str = "**") -> DataFrame:
     """A record per series: settings, first slot and all samples from there on, null
     for gaps. An array holds one series' samples within its retention."""
     some = store.catalog.join(find(store.catalog, pattern).select("id"), "id", "left_semi")
-    by = store.samples.where("v is not null").join(some.select("id", "step"), "id").groupBy("id").agg(
-        F.min("t").alias("first"), F.max("t").alias("last"), F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("at"), F.first("step").alias("interval")
-    )
-    values = F.transform(F.sequence("first", "last", "interval"), lambda t: F.element_at("at", t))
-    filled = by.select("id", "first", values.alias("samples"))
+    # Each sample comes with the nulls up to the next one; of a slot that is there twice the largest value counts.
+    ahead = F.lead("t").over(W.partitionBy("id").orderBy("t", "v"))
+    rows = store.samples.where("v is not null").join(some.select("id", "step"), "id").withColumn("next", ahead).where("next is null or next > t")
+    gap = F.coalesce((F.col("next") - F.col("t")) / F.col("step") - 1, F.lit(0)).cast("int")
+    piece = F.concat(F.array("v"), F.array_repeat(F.lit(None).cast("double"), gap))
+    by = rows.groupBy("id").agg(F.min("t").alias("first"), F.sort_array(F.collect_list(F.struct("t", piece.alias("p")))).alias("pieces"))
+    filled = by.select("id", "first", F.flatten(F.transform("pieces", lambda x: x["p"])).alias("samples"))
     return some.join(filled, "id", "left").select("name", "type", "creation", "retention", F.col("step").alias("interval"), "first", F.coalesce("samples", F.array().cast("array<double>")).alias("samples"))
 
 
@@ -39,14 +41,18 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 def load(records: DataFrame, into: Store | None = None) -> Store:
     """The store that the records describe; ``into`` gets them added, and of a name
     that it has already the new record counts."""
-    numbered = records.withColumn("id", F.abs(F.xxhash64("name") % (1 << 53)))
+    numbered = with_ids(records.withColumn("id", F.lit(None).cast("long")))
     catalog = numbered.select("id", "name", n_segs(F.col("name")).alias("n_segs"), "type", "retention", F.col("interval").alias("step"), "creation", (F.col("first") + (F.size("samples") - 1) * F.col("interval")).alias("last_t"))
     samples = numbered.select("id", "first", "interval", F.posexplode("samples").alias("k", "v")).where("v is not null").select("id", (F.col("first") + F.col("k") * F.col("interval")).alias("t"), "v")
     if into is None:
         return Store(catalog, samples)
     known = into.catalog.join(catalog.select("name"), "name", "left_semi").select("id")
     rest = Store(into.catalog.join(known, "id", "left_anti"), into.samples.join(known, "id", "left_anti"))
-    return Store(rest.catalog.unionByName(catalog.select(*rest.catalog.columns)), rest.samples.select("id", "t", "v").unionByName(samples))
+    # Ids that the rest of the store has stay with it.
+    new = catalog.select("name", F.col("id").alias("_was"))
+    both = with_ids(rest.catalog.unionByName(catalog.withColumn("id", F.lit(None).cast("long")).select(*rest.catalog.columns)))
+    moved = both.join(new, "name").select("id", "_was")
+    return Store(both, rest.samples.select("id", "t", "v").unionByName(samples.withColumnRenamed("id", "_was").join(moved, "_was").select("id", "t", "v")))
 
 
 def generate(spark: SparkSession, prefix: str = "test.", metrics: int = 100, samples: int = 10, interval: int = 60, start: int = 0, low: float = 0.0, high: float = 10.0, seed: int = 0) -> DataFrame:

@@ -14,10 +14,10 @@ FIELDS = ("numInputRows", "inputRowsPerSecond", "processedRowsPerSecond", "batch
 
 
 class ProgressListener(StreamingQueryListener):
-    """Keeps the latest measurements of streaming queries, ``limit`` at most."""
+    """Keeps the measurements of streaming queries until they are taken: a few numbers for each micro-batch."""
 
-    def __init__(self, prefix: str = "self.", limit: int = 10_000):
-        self.prefix, self.limit, self.rows = prefix, limit, []
+    def __init__(self, prefix: str = "self."):
+        self.prefix, self.rows = prefix, []
 
     def onQueryProgress(self, event) -> None:
         p, now = event.progress, int(time.time())
@@ -25,7 +25,6 @@ class ProgressListener(StreamingQueryListener):
             value = getattr(p, field, None)
             if value is not None:
                 self.rows.append((f"{self.prefix}{p.name or p.id}.{field}", float(value), now, p.batchId))
-        del self.rows[: -self.limit]
 
     def onQueryStarted(self, event) -> None:
         pass

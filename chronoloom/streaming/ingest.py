@@ -10,26 +10,29 @@ and one aggregate by slot, so replaying a batch changes nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.times import align
 from chronoloom.operators.series import Store
-from chronoloom.sources.catalog import LONGEST_STORED, Rule, n_segs, quantize, settings
-from chronoloom.sources.store import day, open_store
+from chronoloom.sources.catalog import LONGEST_STORED, Rule, n_segs, quantize, settings, with_ids
+from chronoloom.sources.store import commit, committed, day, day_folders, open_store, read_days
 
 
 def register(catalog: DataFrame, names: DataFrame, rules: list[Rule], now: int) -> DataFrame:
     """The catalog with rows for the new ones of ``names`` (one column ``name``).
 
-    An id is a hash of its name, so any task, and a replayed batch, gives the same.
+    An id is a hash of its name (:func:`with_ids`).
     """
-    new = names.distinct().join(catalog.select("name"), "name", "left_anti")
-    made = new.withColumn("s", settings(F.col("name"), rules)).where("s is not null")
+    made = names.distinct().withColumn("s", settings(F.col("name"), rules)).where("s is not null")
+    null = F.lit(None).cast("long")
     rows = made.select(
-        F.abs(F.xxhash64("name") % (1 << 53)).alias("id"), "name", n_segs(F.col("name")).alias("n_segs"), F.col("s.type").alias("type"), F.col("s.retention").alias("retention"),
-        F.col("s.step").alias("step"), F.lit(now).cast("long").alias("creation"), F.lit(None).cast("long").alias("last_t"),
+        null.alias("id"), "name", n_segs(F.col("name")).alias("n_segs"), F.col("s.type").alias("type"), F.col("s.retention").alias("retention"),
+        F.col("s.step").alias("step"), F.lit(now).cast("long").alias("creation"), null.alias("last_t"),
     )
-    return catalog.unionByName(rows)
+    # Of a name that is there already the new row is the later one.
+    nth = F.row_number().over(W.partitionBy("name").orderBy(F.col("id").isNull()))
+    return with_ids(catalog.unionByName(rows).withColumn("_nth", nth).where("_nth = 1").drop("_nth")).select(*catalog.columns)
 
 
 def slots(batch: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -84,24 +87,25 @@ def counts(store: Store, batch: DataFrame, rules: list[Rule] = (), now: int = 0)
 
 
 def write_batch(spark: SparkSession, path: str, batch: DataFrame, rules: list[Rule], now: int) -> None:
-    """Merges a batch into a store on disk. Only the days that the batch touches are
-    read and written again; the catalog's new version is written beside the old one
-    and takes its place."""
+    """Merges a batch into a store on disk. The batch is written first, so that all
+    that is derived from it sees the same rows. Only the days that it touches are read
+    and written again, as a new version that the catalog's commits; days that
+    no series' retention reaches any more go."""
+    version = committed(spark, path)
+    batch.write.mode("overwrite").parquet(f"{path}/_batch")
+    batch = spark.read.schema(batch.schema).parquet(f"{path}/_batch")
     store = open_store(spark, path)
     names = batch.select(F.substring("name", 1, LONGEST_STORED).alias("name")).where("name is not null")
     catalog = register(store.catalog, names, rules, now)
     fresh = slots(batch, catalog).withColumn("day", day(F.col("t")))
     catalog = newest(catalog, fresh)
-    days = fresh.select("day").distinct()
-    touched = store.samples.join(F.broadcast(days), "day", "left_semi").select("day", "id", "t", "v", F.lit(None).cast("long").alias("seq"))
+    days = {r.day for r in fresh.select("day").distinct().collect()}  # a folder each, in any case
+    folders = day_folders(spark, path, version)
+    touched = read_days(spark, path, [f for d, f in folders.items() if d in days]).select("day", "id", "t", "v", F.lit(None).cast("long").alias("seq"))
     one = touched.unionByName(fresh.select("day", "id", "t", "v", F.col("seq").cast("long").alias("seq"))).groupBy("day", "id", "t").agg(F.max_by("v", F.struct("seq", "v")).alias("v"))
-    kept = retained(one, catalog)
-    tmp = f"{path}/_next"
-    catalog.write.mode("overwrite").parquet(f"{tmp}/catalog")
-    kept.repartition("day", F.pmod("id", F.lit(8))).sortWithinPartitions("day", "id", "t").write.mode("overwrite").partitionBy("day").parquet(f"{tmp}/samples")
-    staged = spark.read.schema("id long, t long, v double, day long").parquet(f"{tmp}/samples")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/samples")
-    spark.read.schema(catalog.schema).parquet(f"{tmp}/catalog").write.mode("overwrite").parquet(f"{path}/catalog")
+    oldest = catalog.agg(F.min(F.when(F.col("retention") > 0, F.coalesce(F.col("last_t") - F.col("retention"), F.lit(-(1 << 62)))).otherwise(F.lit(-(1 << 62)))).alias("t")).first()["t"]
+    gone = {d for d in folders if oldest is not None and (d + 1) * 86400 <= oldest}
+    commit(spark, path, catalog, retained(one, catalog), days, gone)
 
 
 def stream_into(lines: DataFrame, path: str, checkpoint: str, rules: list[Rule] = (), now: int = 0):

@@ -1,5 +1,7 @@
 """Laws that hold for any series and pattern."""
 
+import itertools
+import json
 import random
 import re
 from functools import lru_cache
@@ -9,11 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chronoloom.functions import aggregators
 from chronoloom.functions.globs import regex
 from chronoloom.functions.times import EPOCH_SHIFT
+from chronoloom.operators import windows
 from chronoloom.operators.series import Store
-from chronoloom.plans.library import call
-from chronoloom.plans.render import evaluate, rows
+from chronoloom.plans.library import FUNCTIONS, call
+from chronoloom.plans.render import as_json, evaluate, render, rows
 
 name = st.lists(st.text("abc", min_size=1, max_size=3), min_size=1, max_size=4).map(".".join)
 pattern = st.lists(st.one_of(st.just("**"), st.text("abc*", min_size=1, max_size=3)), min_size=1, max_size=4).map(".".join)
@@ -94,7 +98,7 @@ def test_long_and_short_windows_agree(store, monkeypatch):
     from chronoloom.operators import windows
 
     short = table(store, call("movingAverage", "s.*", 7))
-    monkeypatch.setattr(windows, "LONG_WINDOW", 2)
+    monkeypatch.setattr(windows, "SHORT_WINDOW", 2)
     long = table(store, call("movingAverage", "s.*", 7))
     assert short.keys() == long.keys()
     assert all((short[k] is None) == (long[k] is None) and (short[k] is None or abs(short[k] - long[k]) < 1e-9) for k in short)
@@ -114,3 +118,45 @@ def test_duplicated_series_count_twice(store):
 def test_retention_hides_old_samples(store):
     short = Store(store.catalog.withColumn("retention", F.lit(600).cast("long")).withColumn("last_t", F.lit(4800).cast("long")), store.samples)
     assert all(v is None for (_, _, t), v in table(short, "s.0").items() if t <= 4200)
+
+
+#: What each function takes beside a path.
+MORE = {"num": 2, "numOrString": 3, "aggFunc": "max", "operator": ">=", "string": "1d"}
+
+
+def odd_store(spark):
+    inf = float("inf")
+    values = {1: [inf, -inf, 1.0, 0.0, -2.0, None, inf, 3.0, -inf, -0.0], 2: [inf, inf, None, 0.0, 2.0, 1.0, -inf, 1e308, 1e308, 5.0], 3: [None, -inf, 2.0, 7.0, 1.0, None, None, 4.0, inf, 1.0]}
+    catalog = spark.createDataFrame([(i, f"a.m{i}", 2, "float64", None, 60, 0, None) for i in values], "id long, name string, n_segs int, type string, retention long, step long, creation long, last_t long")
+    return Store(catalog, spark.createDataFrame([(i, 60 * k, v) for i, x in values.items() for k, v in enumerate(x) if v is not None], "id long, t long, v double"), 60)
+
+
+def test_no_function_gives_nan_and_json_is_json(spark):
+    store, targets = odd_store(spark), []
+    for name, f in FUNCTIONS.items():
+        more = [MORE.get(a.type, "x") for a in f.args[1:] if a.type != "pathOrFunc"]
+        targets += [call(name, "a.*", *more), call(name, call("derivative", call("invert", "a.*")), *more)]
+    bad = []
+    for part in itertools.batched(targets, 12):
+        rendered = render(store, list(part), 0, 599)
+        bad += [(r.name, r.t) for r in rendered.where("isnan(v)").collect()]
+        for r in as_json(rendered).collect():
+            json.loads(r.json, parse_constant=bad.append)
+    assert not bad
+    for agg in aggregators.NAMES:
+        assert not render(store, [call("consolidateBy", "a.*", agg)], 0, 599, points=3).where("isnan(v)").count()
+
+
+def test_moving_averages_by_frames_and_by_blocks_agree(spark, monkeypatch):
+    store = odd_store(spark)
+    for window in (1, 2, 3, 4, 7, 20, "2min", "3min", "10min"):
+        seen = []
+        for short in (1000, 0):
+            monkeypatch.setattr(windows, "SHORT_WINDOW", short)
+            seen.append(sorted(((r.name, r.t, r.v) for r in render(store, [call("movingAverage", "a.*", window)], 0, 599).collect()), key=str))
+        slots = window if isinstance(window, int) else int(window[:-3]) + 1
+        monkeypatch.setattr(windows, "SHORT_WINDOW", 1000)
+        framed = sorted(((r.name, r.t, r.v) for r in render(store, [call("movingAverage", "a.*", slots)], 0, 599).collect()), key=str)
+        assert [x[:2] for x in seen[0]] == [x[:2] for x in seen[1]] == [x[:2] for x in framed]
+        for a, b, c in zip(seen[0], seen[1], framed, strict=True):
+            assert (a[2] is None) == (b[2] is None) == (c[2] is None) and (a[2] is None or a[2] == b[2] == c[2] or abs(a[2] - c[2]) + abs(b[2] - c[2]) <= 1e-9 * abs(c[2]))
