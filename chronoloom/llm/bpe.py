@@ -188,6 +188,40 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def _decoder(path: str):
+    table = _load(path)[1]
+    known = range(len(table))
+
+    def decode(ids: list) -> str:
+        try:
+            data = b"".join(map(table.__getitem__, ids))
+            if ids and min(ids) < 0:
+                raise IndexError
+        except (IndexError, TypeError):
+            data = b"".join(table[int(i)] for i in ids if i is not None and i in known)
+        return data.decode("utf-8", "replace")
+
+    return decode
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, text)``: :func:`encode_documents` and then
+    :func:`decode_documents`, in one pass of one Python worker a task."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = _decoder(path)
+        for batch in batches:
+            for start, texts in _slices(batch.column(1)):
+                ids, offsets = encode_texts(texts, path)
+                cuts, flat = offsets.tolist(), ids.tolist()
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                back = pa.array([decode(flat[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists, back], ["doc_id", "ids", "text"])
+
+    return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, ids, text)``: the text that each row's ids stand for.
 
@@ -198,19 +232,9 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     src = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _load(path)[1]
-        known = range(len(table))
+        decode = _decoder(path)
         for batch in batches:
-            texts = []
-            for x in batch.column(1):
-                ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                try:
-                    data = b"".join(map(table.__getitem__, ids))
-                    if ids and min(ids) < 0:
-                        raise IndexError
-                except (IndexError, TypeError):
-                    data = b"".join(table[int(i)] for i in ids if i is not None and i in known)
-                texts.append(data.decode("utf-8", "replace"))
+            texts = [decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return src.transform(map_batches, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

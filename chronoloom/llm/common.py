@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,11 +50,17 @@ def few(keys: DataFrame) -> bool:
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
+@lru_cache(maxsize=1)
+def _allocator():
+    """The C library's, if it can give free memory back."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with batches that fit texts of any length: Spark reads their
     size from the session when a query runs, so larger settings are lowered there, and
     smaller ones of the user's stay. When a task is done, its worker, which Spark may
-    use again, gives Arrow's buffers back."""
+    use again, gives free memory back."""
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
@@ -64,6 +72,8 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := _allocator():
+                trim(0)
 
     return df.mapInArrow(whole, schema)
 

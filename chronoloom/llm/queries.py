@@ -19,8 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    decoded = bpe.decode_documents(bpe.encode_documents(read(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
+    return bpe.round_trip(read(spark, sf_dir, "documents"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -33,6 +33,8 @@ def test_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in bpe.decode_documents(bpe.encode_documents(df, PATH), PATH).collect()}
     assert got == {i: t or "" for i, t in enumerate(texts)}
+    want = {r.doc_id: (list(r.ids), got[r.doc_id]) for r in bpe.encode_documents(df, PATH).collect()}
+    assert {r.doc_id: (list(r.ids), r.text) for r in bpe.round_trip(df, PATH).collect()} == want
 
 
 def test_decoding_odd_ids(spark):
