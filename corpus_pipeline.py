@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, decontaminate, language, minhash, suffix
-from chronoloom.llm.common import held_out, materialize, read
+from chronoloom.llm.common import few, held_out, materialize, read
 from chronoloom.llm.queries import tokenizer_path
 
 #: How far of the way from chance (one in so many languages as were learned) to certainty a score must be; real texts lie far above it.
@@ -44,7 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = numbered.select(row, F.col("doc_id").cast("long").alias("id"))
     first = found.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row"))).alias("x"))
     stays = materialize(first.select(F.col("x.row").alias(row)), "stays")
-    return numbered.join(stays, row, "left_semi").select(*docs.columns)
+    # Those that go are the fewer ones; while their numbers can be broadcast no text is shuffled.
+    gone = materialize(numbered.select(row).join(stays, row, "left_anti"), "gone")
+    return numbered.join(F.broadcast(gone) if few(gone) else gone, row, "left_anti").select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: ids of every text that is left, and the text that they decode to."""
     path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.decode_documents(bpe.encode_documents(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
