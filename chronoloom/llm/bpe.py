@@ -2,21 +2,22 @@
 
 A text is cut wherever a hash of the last eight bytes has ten zero bits, so
 equal passages give equal chunks in any document. A chunk is encoded once per
-Python worker: its result is kept in a bounded cache that outlives Arrow batches
-and tasks. What a chunk's encoding says about its first and last few tokens may
-be wrong in another surrounding, so only the part between the chunk's first and
-last *certain* boundary is shared, and the text between two such parts is encoded
-once, too: that is the window around a join, which grows over further chunks until it
-has a certain boundary at either end. There both sides' ids agree by the pre-tokenizer's
-rules, so nothing needs to be encoded twice to compare them. Text without certain
-boundaries (long unbroken runs) has no parts to share and is encoded anew in each document.
+Python worker: its ids are kept in a bounded cache that outlives Arrow batches
+and tasks. Joins are then repaired. What a chunk's ids say about its first and last few
+tokens may be wrong in its surrounding, so the window around a join is encoded anew: from
+the last but one *certain* boundary of the chunk before to the second one of the chunk
+behind. Its ids must agree with the first chunk's up to that one's last certain boundary,
+and with the second chunk's from its first one on; what lies between replaces both chunks'
+ids. The window grows over chunks without two such boundaries, and if both sides still
+don't agree, to the whole text. Equal windows are encoded once, too.
 
 A boundary is certain at a single space that stands between two visible ASCII
 characters: no alternative of the pre-tokenizer's pattern matches a space after
 another character, so a pre-token starts there whatever stands around it. The same holds
 at an ideographic comma or full stop and the wide forms of ``, ! ?`` behind a Han or
 Hiragana letter: no alternative matches letters and punctuation together. No special
-token holds a space or such a character.
+token holds a space or such a character. Ids that agree between two such boundaries are
+therefore the whole text's; agreement elsewhere would prove nothing.
 
 The work is narrow: no shuffle, memory bounded by one Arrow batch and the cache.
 """
@@ -51,7 +52,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _load(path: str):
-    """(encoding, bytes of each id) of a byte-level BPE file."""
+    """(encoding, bytes of each id, their lengths) of a byte-level BPE file."""
     import tiktoken
     from public_tokenizers import PATTERN
 
@@ -73,11 +74,11 @@ def _load(path: str):
         table[i] = token
     for token, i in special.items():
         table[i] = token.encode()
-    return encoding, table
+    return encoding, table, np.array([len(t) for t in table])
 
 
 class _Cache(dict):
-    """Ids by piece of text; emptied when it holds too many bytes."""
+    """Ids by chunk or window of text; emptied when it holds too many bytes."""
 
     def __init__(self, encoding, limit: int):
         super().__init__()
@@ -116,45 +117,84 @@ def certain(b: np.ndarray) -> np.ndarray:
     return np.union1d(at, wide[letter & np.isin(code, _STOPS)])
 
 
-def pieces(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """Positions at which to part the documents of ``data``.
+def chunks(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, whether each chunk has anchors, anchors) of the documents of ``data``.
 
-    ``starts`` holds where each document starts, and the end. Between two
-    documents there is always a position; the others are the last certain
-    boundary of each chunk and the first one of the next.
+    ``starts`` holds where each document starts, and the end; chunks never cross
+    documents or part a character. A chunk's four anchors are its first two and
+    last two certain boundaries, judged by its own bytes alone.
     """
-    n = len(data)
-    if n < 32:
-        return starts
-    b = np.frombuffer(data, np.uint8)
-    window = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-    cut = np.flatnonzero((window * _MIX) >> np.uint64(64 - CUT_BITS) == 0) + 8
-    safe = certain(b)
+    n, b = len(data), np.frombuffer(data, np.uint8)
+    cut = np.empty(0, np.int64)
+    if n >= 32:
+        window = np.ndarray((n - 7,), "<u8", data, strides=(1,))
+        cut = np.flatnonzero((window * _MIX) >> np.uint64(64 - CUT_BITS) == 0) + 8
+        for _ in range(3):
+            cut = cut[cut < n]
+            cut = cut + ((b[cut] & 0xC0) == 0x80)
     edges = np.union1d(cut[cut < n], starts)
-    # Of each chunk, the boundaries that its own bytes make certain.
+    safe = certain(b)
     lo = np.searchsorted(safe, edges[:-1] + 3)
     hi = np.searchsorted(safe, edges[1:] - 3, side="right") - 1
-    some = hi >= lo
-    if not some.any():
-        return starts
-    first, last = safe[lo[some]], safe[hi[some]]
-    # A document's first chunk is certain from its start, its last to its end.
-    heads, tails = np.isin(edges[:-1][some], starts), np.isin(edges[1:][some], starts)
-    return np.union1d(np.concatenate([first[~heads], last[~tails]]), starts)
+    some = hi > lo
+    anchors = np.zeros((len(lo), 4), np.int64)
+    anchors[some] = safe[np.stack([lo, lo + 1, hi - 1, hi], 1)[some]]
+    return edges, some, anchors
+
+
+def _between(window: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """The ids of a window without those that it shares with the chunks on either side; None if they differ."""
+    end = len(window) - len(right)
+    if end < len(left) or window[: len(left)].tobytes() != left.tobytes() or window[end:].tobytes() != right.tobytes():
+        return None
+    return window[len(left) : end]
 
 
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, offsets of each text)."""
-    cache = _cache(path)
+    cache, lengths = _cache(path), _load(path)[2]
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=starts[1:])
-    data = b"".join(texts)
-    at = pieces(data, np.unique(starts))
-    cuts = at.tolist()
-    parts = [cache[data[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
-    sizes = np.zeros(len(cuts), np.int64)
-    np.cumsum([len(p) for p in parts], out=sizes[1:])
-    return np.concatenate([np.empty(0, np.int32), *parts]), sizes[np.searchsorted(at, starts)]
+    data, none = b"".join(texts), np.empty(0, np.int32)
+    edges, some, anchors = chunks(data, np.unique(starts))
+    of = np.searchsorted(edges, starts).tolist()
+    cuts, some, inside, anchors = edges.tolist(), some.tolist(), anchors - edges[:-1, None], anchors.tolist()
+
+    def stitch(i: int, j: int) -> list[np.ndarray] | None:
+        """Ids of the document of chunks i to j - 1, in parts; None if a join's two sides don't agree."""
+        parts, start, left = [], cuts[i], none
+        for k in range(i, j):
+            if not some[k]:
+                continue  # the window grows over it
+            ids = cache[data[cuts[k] : cuts[k + 1]]]
+            ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ends, inside[k])
+            if (ends[at] != inside[k]).any():
+                return None
+            first, second, third, last = (at + 1).tolist()
+            if k == i:
+                first = 0
+            else:
+                middle = _between(cache[data[start : anchors[k][1]]], left, ids[first:second])
+                if middle is None:
+                    return None
+                parts.append(middle)
+            if k == j - 1:
+                return [*parts, ids[first:]]
+            parts.append(ids[first:last])
+            start, left = anchors[k][2], ids[third:last]
+        middle = _between(cache[data[start : cuts[j]]], left, none)
+        return None if middle is None else [*parts, middle]
+
+    parts, sizes = [none], [0]
+    for i, j in zip(of, of[1:], strict=False):
+        if j > i:
+            one = [cache[data[cuts[i] : cuts[j]]]] if j == i + 1 else stitch(i, j)
+            parts += one if one is not None else [cache[data[cuts[i] : cuts[j]]]]
+            sizes.append(sizes[-1] + sum(map(len, one if one is not None else parts[-1:])))
+        else:
+            sizes.append(sizes[-1])
+    return np.concatenate(parts), np.array(sizes, np.int64)
 
 
 def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -57,6 +57,29 @@ def test_chunks_are_shared_and_joins_repaired():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [lib.encode(t.decode(), add_special_tokens=False).ids for t in texts]
 
 
+def test_joins_are_encoded_again_until_both_sides_agree(monkeypatch):
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(4000)).encode()
+    edges, some, anchors = bpe.chunks(text, bpe.np.array([0, len(text)]))
+    assert some.sum() > 10 and not some.all() and any(text[e - 1] != 32 != text[e] for e in edges[1:-1].tolist())  # cuts part words
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    alone = [i for a, b in zip(edges.tolist(), edges.tolist()[1:]) for i in lib.encode(text[a:b].decode(), add_special_tokens=False).ids]
+    want = lib.encode(text.decode(), add_special_tokens=False).ids
+    assert alone != want  # so the joins need repair
+    cache = bpe._cache(PATH)
+    cache.clear()
+    ids, at = bpe.encode_texts([text], PATH)
+    assert ids.tolist() == want and at.tolist() == [0, len(want)]
+    assert len(cache) == some.sum() + some.sum() - 1  # each chunk with boundaries and each join between two of them, once
+    ids, at = bpe.encode_texts([b"", text], PATH)
+    assert ids.tolist() == want and at.tolist() == [0, 0, len(want)] and len(cache) == 2 * some.sum() - 1  # nothing is encoded twice
+    x = lambda *i: bpe.np.array(i, "int32")
+    assert bpe._between(x(1, 2, 3), x(1), x(3)).tolist() == [2] and bpe._between(x(1, 3), x(1), x(3)).tolist() == []
+    assert all(bpe._between(x(*w), x(1, 2), x(3)) is None for w in ([1, 2], [1, 4, 3], [1, 2, 4], []))
+    monkeypatch.setattr(bpe, "_between", lambda *_: None)  # no agreement: the window grows to the whole text
+    assert bpe.encode_texts([text], PATH)[0].tolist() == want
+
+
 def test_passages_without_blanks_are_shared():
     rnd = random.Random(2)
     part = lambda: "".join(chr(rnd.choice([rnd.randint(0x5000, 0x8FFF), rnd.randint(0x3041, 0x307F)])) for _ in range(rnd.randint(3, 20)))
