@@ -170,7 +170,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     """``(doc_id, *keep, lang_pred, score)`` of each row's whole text.
 
     Null text and text without a letter get ``und`` and score 0, as do all rows
-    if there is no network. Equal texts get equal answers; rows with equal or null
+    if there is no network; of languages that tie the first in order wins. Equal texts get equal answers; rows with equal or null
     ids stay rows of their own; other columns are ignored.
     """
     text = F.col(text_col).cast("string")
